@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, sharding, urls
+from . import decontam, exact, minhash, packing, quality, rans, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,23 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_interleaved_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade(_table(spark, sf_dir, "documents"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(_table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "cast(NULL AS int) AS grown_shard")
 
 
+def op7_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op8_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -28,7 +41,14 @@ def op9_merge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_length_buckets, op6_kd_shards, op8_host_trust, op9_merge_index)}
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_length_buckets, op2_interleaved_rans, op5_weak_labels, op6_kd_shards, op7_min_max_hash, op8_host_trust, op9_merge_index, op10_spaced_seeds)
+}
 
 ORACLES = {
     "op9_merge_index": """
