@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, minhash, packing, quality, rans, sharding, urls
+from . import decontam, exact, licenses, lm, minhash, packing, quality, rans, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_interleaved_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op4_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,8 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_length_buckets, op2_interleaved_rans, op5_weak_labels, op6_kd_shards, op7_min_max_hash, op8_host_trust, op9_merge_index, op10_spaced_seeds)
+    for f in (op1_length_buckets, op2_interleaved_rans, op3_log_bilinear, op4_signature_rules, op5_weak_labels,
+        op6_kd_shards, op7_min_max_hash, op8_host_trust, op9_merge_index, op10_spaced_seeds)
 }
 
 ORACLES = {
