@@ -19,6 +19,8 @@ PERMUTATIONS = 128
 ROWS = 6
 #: Rows up to which a list of 8-byte ids or keys may be broadcast (some 50 MB in an executor).
 BROADCAST_ROWS = 1_000_000
+#: Shingles in a block of the second round (1 MB, and as much again for the block it meets).
+BLOCK_ITEMS = 1 << 17
 #: Words whose hashes a Python worker remembers; beyond that it starts anew.
 CACHE = 400_000
 
@@ -122,6 +124,76 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
 
 
+def _rest(member: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a pivot and lie in different components.
+
+    member: (pivot, node, n), without the pivots themselves, which were held against all their members. A pivot's
+    members are cut into blocks of about BLOCK_ITEMS shingles: first those outside its largest component, then that
+    component's (all in one block where they fit). Every block of the first kind meets itself and all other blocks,
+    one task per pair of blocks, streamed in sorted order, so that neither a bucket nor a task's memory is bound to
+    the size of a group. Rows made: members times the blocks they meet.
+    """
+    member = member.join(part, "node", "left").select("pivot", "node", "n", F.coalesce("component", "node").alias("part"))
+    per = member.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items"))
+    mixed = per.groupBy("pivot").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("items", F.struct("c", "part")).alias("main_items"), F.sum("items").alias("items"))
+    blocks = lambda c: F.ceil(c / BLOCK_ITEMS)
+    small = F.col("items") <= BLOCK_ITEMS
+    mixed = mixed.where("parts > 1").select(
+        "pivot", "main", F.when(small, 1).otherwise(blocks(F.col("items") - F.col("main_items"))).alias("n_rest"), F.when(small, 0).otherwise(blocks(F.col("main_items"))).alias("n_main")
+    )
+    dealt = member.join(mixed, "pivot")
+    hashed = F.xxhash64("node", F.lit(11))
+    outside = (F.col("part") != F.col("main")) | (F.col("n_main") == 0)
+    dealt = dealt.withColumn("block", F.when(outside, F.pmod(hashed, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(hashed, F.greatest("n_main", F.lit(1)))))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("block") < F.col("n_rest"), F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1)
+    rows = dealt.select("pivot", "node", "part", "block", F.explode(meets).alias("other"))
+    rows = rows.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part").join(sets, "node")
+    rows = rows.select("pivot", "i", "j", "block", "node", "part", "items").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return rows.mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
+def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links in one pair of blocks, one for each two components. rows: (is first block, is second block, node, part, items)."""
+    sizes = np.array([len(r[4]) for r in rows])
+    _, index = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    part, second = np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
+    here, out = np.zeros(index.max() + 1, dtype=np.int64), {}
+    for k, (first, _, node, own, items) in enumerate(rows):
+        if not first:
+            continue
+        at = index[starts[k] : starts[k] + sizes[k]]
+        here[at] = 1
+        both = np.add.reduceat(here[index], starts)
+        here[at] = 0
+        for x in np.flatnonzero(second & (part != own) & (100 * both >= percent * (sizes + sizes[k] - both))):
+            out.setdefault((min(own, part[x]), max(own, part[x])), (min(node, rows[x][2]), max(node, rows[x][2])))
+    return list(out.values())
+
+
+def _blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            links = _block_links(rows, percent) if len({r[3] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        key, rows = None, []
+        for batch in batches:
+            items = batch.column(6)
+            ends, flat = items.offsets.to_numpy(), items.values.to_numpy()
+            cols = [batch.column(c).to_pylist() for c in range(6)]
+            for k, (pivot, i, j, block, node, part) in enumerate(zip(*cols)):
+                if key != (pivot, i, j):
+                    if rows:
+                        yield out(rows)
+                    key, rows = (pivot, i, j), []
+                rows.append((block == i, block == j, node, part, flat[ends[k] : ends[k + 1]]))
+        if rows:
+            yield out(rows)
+
+    return run
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -131,9 +203,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents with equal sets are one class, so exact copies are never paired. Classes meet in bands of their
     min-max signatures. Links are confirmed on full sets in two rounds. First each bucket's smallest class is
     held against the bucket's others (one pair per member, whatever the bucket's size). Then, in buckets that
-    still hold more than one component, every class outside the bucket's largest component is held against the
-    classes of other components, so that no candidate pair across components stays untested; pairs inside a
-    component change nothing and are left out. No bucket is capped.
+    still hold more than one component, every class outside the largest component is held against the classes of
+    other components, so that no candidate pair across components stays untested; pairs inside the largest
+    component change nothing and are left out. That second round works block against block and emits no pairs but
+    links (see _rest). No bucket is capped.
 
     Null or empty text, or white space only: n_shingles 0, linked with nothing, kept. Null doc_id: the row takes
     its class's component; in a class of null ids alone component_id is null and the row is kept. Repeated rows
@@ -157,14 +230,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = stage(_confirm(first, sets, percent), "links")
     part = stage(components(links), "parts")
 
-    member = buckets.select("key", "node", "n").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    per = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", "c").alias("main")).where("parts > 1")
-    member = stage(member.join(mixed.select("key", "main"), "key"), "mixed")
-    rest = member.where("part <> main").select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
-    more = rest.join(member, "key").where((F.col("part") != F.col("x_part")) & sized("n", "x_n"))
-    more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    extra = stage(_confirm(stage(more, "pairs"), sets, percent), "links")
+    extra = stage(_rest(buckets.where("node <> pivot").select("pivot", "node", "n").distinct(), part, sets, percent), "links")
     part = components(links.union(extra))
 
     whole = sketch.select("doc_id", "n", "digest").join(classes, "digest", "left").join(part, "node", "left")
