@@ -12,19 +12,25 @@ u64, crc32 of words u32, crc32 of ids u32, crc32 of the table u32), then for eac
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import stage_path, utf8
+from .common import stage_path
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
 PROB_BITS = 20
 LANES = 1024
@@ -35,8 +41,9 @@ BLOCK_TOKENS = 1 << 19
 LOW = np.uint64(1 << 31)
 HEADER = struct.Struct("<4sHIQIIQIII")
 MAGIC = b"RAS1"
-#: Chunks between white space whose ids a Python worker remembers, and the longest one it remembers.
-CACHE, CACHE_BYTES = 500_000, 48
+#: Chunks between white space whose ids a Python worker remembers (the first ones it meets, which are the frequent
+#: ones), and bytes of text that it takes at once.
+CACHE, SLICE = 400_000, 8_000_000
 
 
 class Frequencies:
@@ -128,50 +135,109 @@ def decode(block: bytes, table: Frequencies, part: int | None = None) -> np.ndar
     return out
 
 
-_tokenizers: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabets write printable Latin-1 bytes as themselves and all others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+#: Chunks that the pre-tokenizer cuts in two at most: letters whose lower case is plain, then full stops or commas.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)").fullmatch
+_tokenizers: dict[str, tuple] = {}
 
 
 class Ids:
-    """Token ids of whole texts by a tokenizer whose tokens never cross white space, with a memory of seen chunks."""
+    """Token ids of whole texts by a lower-casing BPE tokenizer whose tokens never cross white space.
+
+    Texts are split and their chunks dictionary-encoded in Arrow; only a slice's distinct chunks are looked up in
+    Python, those never seen are tokenized, and numpy puts the ids together.
+    """
 
     def __init__(self, path: str):
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.seen = _tokenizers[path]
-
-    def __call__(self, text: bytes, end: int) -> np.ndarray:
-        tail = np.array([end], dtype=np.uint16)
-        if b"\x0b" in text or b"\x0c" in text:  # white space for bytes.split, perhaps not for the tokenizer
-            return np.concatenate([np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint16), tail])
-        chunks, seen = text.split(), self.seen
-        try:
-            parts = list(map(seen.__getitem__, chunks))
-        except KeyError:
-            if len(seen) > CACHE:
-                seen.clear()
-            new = [c for c in dict.fromkeys(chunks) if c not in seen]
-            codes = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-            fresh = {c: np.array(e.ids, dtype=np.uint16).tobytes() for c, e in zip(new, codes)}
-            parts = [seen.get(c) or fresh.get(c, b"") for c in chunks]
-            seen.update((c, v) for c, v in fresh.items() if len(c) <= CACHE_BYTES)
-        return np.concatenate([np.frombuffer(b"".join(parts), dtype=np.uint16), tail])
-
-
-def _count(path: str, end: int):
+            _tokenizers[path] = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.seen, self.parts = _tokenizers[path]
+        self.model = self.tokenizer.model
+
+    def __call__(self, texts: pa.StringArray, end: int) -> pa.BinaryArray:
+        """Of each text its ids and the end id, as little-endian 16-bit numbers."""
+        odd = pc.match_substring_regex(texts, "[\x0b\x0c]")  # white space for Arrow, perhaps not for the tokenizer
+        if pc.any(odd).as_py():
+            whole = {i: self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+            rest = self(pc.if_else(odd, "", texts), end).to_pylist()
+            return pa.array([np.array([*whole[i], end], dtype="<u2").tobytes() if i in whole else r for i, r in enumerate(rest)], pa.binary())
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 2
+        flat = np.frombuffer(b"".join(known), dtype="<u2")
+        index = coded.indices.to_numpy()
+        size = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - upto[:-1], size) + np.arange(upto[-1])]
+        offsets = chunks.offsets.to_numpy()
+        edges = upto[offsets - offsets[0]]  # of the documents, in ids
+        out = np.empty(len(ids) + len(texts), dtype="<u2")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(edges))] = ids
+        ends = edges + np.arange(len(texts) + 1)  # with one end id for each
+        out[ends[1:] - 1] = end
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((2 * ends).astype("<i4")), pa.py_buffer(out)])
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids."""
+        out = list(map(self.seen.get, chunks))
+        new = {c: None for c, x in zip(chunks, out) if x is None}
+        hard = []
+        for c in new:
+            m = _PLAIN(c)
+            if m is None:
+                hard.append(c)
+            else:
+                new[c] = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+        if hard:
+            codes = self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)
+            new.update((c, array("H", e.ids).tobytes()) for c, e in zip(hard, codes))
+        if len(self.seen) < CACHE:
+            self.seen.update(new)
+        return [new[c] if x is None else x for c, x in zip(chunks, out)] if new else out
+
+    def _part(self, word: str) -> bytes:
+        x = self.parts.get(word)
+        if x is None:
+            letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+            x = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(self.parts) < CACHE:
+                self.parts[word] = x
+        return x
+
+
+def _tokenized(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = Ids(path), np.zeros(1 << 16, dtype=np.int64)
+        ids = Ids(path)
         for batch in batches:
-            own = [ids(text, end) for text in batch.column(1).to_pylist()]
-            counts += np.bincount(np.concatenate(own), minlength=1 << 16) if own else 0
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["token", "n"])
+            texts = batch.column(1)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+                if len(part):
+                    at, n = int(part[0]), len(part)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), ids(texts.slice(at, n), end)], names=["doc_id", "ids"])
 
     return run
 
 
-def _blocks(path: str, end: int, table):
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << 16, dtype=np.int64)
+    for batch in batches:
+        counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), minlength=1 << 16)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["token", "n"])
+
+
+def _blocks(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, freq, part = Ids(path), Frequencies(table.value), TaskContext.get().partitionId()
+        freq, part = Frequencies(table.value), TaskContext.get().partitionId()
         docs, texts, size, start, number = [], [], 0, 0, 0
 
         def block() -> pa.RecordBatch:
@@ -181,8 +247,8 @@ def _blocks(path: str, end: int, table):
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = ids(text, end)
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(ids, dtype="<u2")
                 docs.append(doc)
                 texts.append(x)
                 size += len(x)
@@ -215,22 +281,25 @@ def _read(table):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 2) -> None:
     """Tokenize all texts and write them under path: `table` (one row: the shared frequencies) and `blocks`.
 
-    The first pass counts tokens over all documents (at most 65,536 sums reach the driver). The second deals texts
-    into ranges of doc_id, sorts each range, and encodes its blocks in that order; part numbers ascend with doc_id.
+    Texts are tokenized once, into a staged table. Tokens are counted over all documents (at most 65,536 sums reach
+    the driver). Then the ids are dealt into ranges of doc_id, each range is sorted and its blocks are encoded in
+    that order; part numbers ascend with doc_id.
     The blocks are rows of Parquet files with a binary column, so that Spark's committer covers retried tasks and any
     file system will do. Null text counts as empty; null doc_ids come first; repeated rows are written as often.
     """
     spark = docs.sparkSession
-    own = docs.select("doc_id", utf8().alias("text"))
-    counted = own.mapInArrow(_count(tokenizer_path, end), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    raw = stage_path(spark, "ids")
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tokenized(tokenizer_path, end), "doc_id long, ids binary").write.option("compression", "zstd").parquet(raw)
+    own = spark.read.schema("doc_id long, ids binary").parquet(raw)
+    counted = own.select("ids").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, dtype=np.int64)
     for r in counted:
         counts[r["token"]] = r["n"]
     freq = Frequencies.from_counts(counts).freq.astype(np.int64)
     spark.createDataFrame([([int(f) for f in freq],)], "freq array<long>").coalesce(1).write.parquet(f"{path}/table")
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     schema = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
-    ordered.mapInArrow(_blocks(tokenizer_path, end, spark.sparkContext.broadcast(freq)), schema).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(freq)), schema).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark, path: str) -> DataFrame:
