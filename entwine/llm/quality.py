@@ -76,8 +76,8 @@ LABELLERS = {
     "shouting": lambda f: _bands(0.2, 0.02, f["bangs"]) if f["n"] >= 3 else 0,
     "top word": lambda f: _bands(0.35, 0.15, f["top"]) if f["n"] >= 20 else 0,
     "variety": lambda f: (-1 if f["distinct"] < 0.1 else 1 if f["distinct"] > 0.3 else 0) if 20 <= f["n"] <= 5000 else 0,
-    "short words": lambda f: (-1 if f["short"] < 0.08 else 1 if 0.2 <= f["short"] <= 0.75 else 0) if f["n"] >= 20 else 0,
-    "sentences": lambda f: (-1 if f["ends"] < 0.004 else 1 if 0.02 <= f["ends"] <= 0.3 else 0) if f["n"] >= 50 else 0,
+    "short words": lambda f: 1 if f["n"] >= 20 and 0.2 <= f["short"] <= 0.75 else 0,
+    "sentences": lambda f: 1 if f["n"] >= 50 and 0.02 <= f["ends"] <= 0.3 else 0,
     "repeated lines": lambda f: _bands(0.4, 0.1, f["repeated"]) if f["lines"] >= 4 else 0,
     "stutter": lambda f: _bands(0.2, 0.05, f["stutter"]) if f["n"] >= 10 else 0,
     "cells": lambda f: _bands(0.15, 0.02, f["cells"]) if f["n"] >= 10 else 0,
@@ -123,11 +123,15 @@ class LabelModel:
 
     Works on counts of vote patterns, of which there are at most 3 ** labellers whatever the number of documents,
     so it sees all of them.
+
+    Votes for junk are made to be precise. That is a Beta prior on each labeller's rate of junk votes among good
+    documents, worth `trust` times those documents without a junk vote: without it, a kind of junk that is rare and
+    that a single labeller knows would pass for an error of that labeller.
     """
 
-    def __init__(self, counts: dict[str, int], rounds: int = 200):
+    def __init__(self, counts: dict[str, int], rounds: int = 200, trust: float = 50.0):
         self.patterns = sorted(counts)
-        votes = np.array([["-0+".index(c) for c in p] for p in self.patterns], dtype=np.int64).reshape(len(self.patterns), -1)
+        votes = np.array([["-0+".index(c) for c in p] for p in self.patterns], dtype=np.int64).reshape(len(self.patterns), len(LABELLERS))
         w = np.array([counts[p] for p in self.patterns], dtype=np.float64)
         good = np.array([0.95, 0.4, 0.1])[np.minimum((votes == 0).sum(axis=1), 2)]  # to begin with: few votes for junk mean good
         self.prior, self.rates = 0.5, None
@@ -136,6 +140,7 @@ class LabelModel:
             mass = post * w
             self.prior = float((mass[1].sum() + 1) / (w.sum() + 2))
             rates = np.stack([[(mass * (votes[:, j] == v)).sum(axis=1) + 0.5 for v in (0, 2)] for j in range(votes.shape[1])])
+            rates[:, 1, 1] += trust * mass[1].sum()
             rates = rates / rates.sum(axis=1, keepdims=True)
             self.rates = np.stack([rates[:, 0], np.ones_like(rates[:, 0]), rates[:, 1]], axis=1)  # [labeller, vote, class]
             logs = np.log([1 - self.prior, self.prior])[:, None] + sum(np.log(self.rates[j, votes[:, j], :].T) for j in range(votes.shape[1]))
