@@ -194,7 +194,8 @@ def score(docs: DataFrame) -> DataFrame:
         if words + s["words"] > HELD:
             break
         bound, words = s["least"], words + s["words"]
-    held_rows = counts.where(F.col("c") >= bound).collect() if words else []
+    enough = F.col("c") >= bound if words else F.lit(False)
+    held_rows = counts.where(enough | (F.col("word") == F.lit(END))).collect()
     held_counts = {bytes(r["word"]): r["c"] for r in held_rows}
     held_counts = dict(sorted(held_counts.items(), key=lambda x: (-x[1], x[0])))
     singles = [END, *[w for w in list(held_counts)[:SINGLES] if w != END]][:SINGLES]
@@ -220,7 +221,7 @@ def score(docs: DataFrame) -> DataFrame:
     schema = "row long, doc_id long, n_tokens long, n_held long, logs double, model double, rare array<binary>, times array<long>"
     part = stage(own.select("doc_id", "text").mapInArrow(_scored(held, table), schema), "scored")
     rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    known = rare.join(counts.where(F.col("c") < bound) if words else counts, "word")
+    known = rare.join(counts.where(~enough), "word")
     known = known.groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c").cast("double") + 1)).alias("rare_logs"))
     out = part.drop("rare", "times").join(known, "row", "left").na.fill(0, ["n_rare", "rare_logs"])
     n_end = 0 if n else 1  # without training documents even the end token is unseen
