@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-#: Fixed masks over word positions: 1 is hashed, 0 is ignored, so that a substituted word there does no harm.
-MASKS = ("11111", "11101011", "1101100101", "1100100010101")
+#: Fixed masks over word positions: 1 is hashed, 0 is ignored, so that a substituted word there does no harm. Within
+#: the tolerance below, every pattern of substitutions leaves some place of some mask untouched (a test goes through
+#: them all): three masks of weight 5 for items that fill a window, lighter ones for shorter items.
+MASKS = ("110111", "111011", "1100001011")
+SHORT_MASKS = ("1111", "10111", "11011", "11101", "100111", "1100011")
 #: A leak: in some run of WINDOW words of an item (the whole item where it is shorter) this share of the words stand
 #: at the same places in the document.
 WINDOW, SHARE = 13, 0.75
@@ -46,16 +49,20 @@ class SeedIndex:
                 self.items.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], dtype=np.int64))
         rng = np.random.default_rng(7)
         self.codes = np.concatenate([[0], rng.integers(1, 1 << 63, len(self.vocabulary), dtype=np.uint64)]).astype(np.uint64)
-        self.factors = rng.integers(0, 1 << 62, max(map(len, MASKS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = rng.integers(0, 1 << 62, max(map(len, MASKS + SHORT_MASKS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.seeds = []
-        for mask in MASKS:
+        for mask in MASKS + SHORT_MASKS:
             keys, item, place = [], [], []
             for i, x in enumerate(self.items):
+                if (len(x) < WINDOW) != (mask in SHORT_MASKS):
+                    continue
                 h, ok = self.hashed(x, mask)
                 keys.append(h[ok])
                 item.append(np.full(int(ok.sum()), i, dtype=np.int64))
                 place.append(np.flatnonzero(ok))
-            keys, item, place = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (keys, item, place))
+            if not keys:
+                continue
+            keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
             order = np.argsort(keys, kind="stable")
             self.seeds.append((mask, keys[order].astype(np.uint64), item[order], place[order]))
 
@@ -84,7 +91,7 @@ class SeedIndex:
             at = np.repeat(at, many)
             found.append(np.stack([np.searchsorted(ends, at, side="right"), item[entry], at - place[entry]], axis=1) if len(at) else np.empty((0, 3), dtype=np.int64))
         out = []
-        for doc, i, start in np.unique(np.concatenate(found), axis=0):
+        for doc, i, start in np.unique(np.concatenate(found), axis=0) if found else ():
             first, last, own = (ends[doc - 1] if doc else 0), ends[doc], self.items[i]
             same = np.zeros(len(own), dtype=np.int64)
             lo, hi = max(start, first), min(start + len(own), last)
