@@ -66,7 +66,7 @@ class Frequencies:
         order = np.argsort(-freq, kind="stable")
         over = int(freq.sum()) - goal
         while over > 0:  # the ones given to rare tokens come from the frequent ones
-            for k in order:
+            for k in order[freq[order] > 1]:
                 take = min(over, int(freq[k]) // 64 + 1, int(freq[k]) - 1)
                 freq[k] -= take
                 over -= take
