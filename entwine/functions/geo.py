@@ -64,27 +64,25 @@ def assign_block_keys(rows: DataFrame, upper: int, lower: int, scope: list[str]
     """Add geo_block_key from base_key, geo and clean_name in three passes over key counts inside each scope.
 
     Keys without a postal code that hold more than `upper` rows become country_chunk2_chunk1 where there is a chunk_2;
-    those still above take the first letter of the name; keys below `lower` fold into the country's unknown block. Each
-    pass counts keys by a partial aggregation and joins the few counts back, so a key with a third of all rows is
-    never gathered in one task.
-    """
-
-    def counted(df: DataFrame, key: str) -> DataFrame:
-        by = [*scope, key]
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-        return df.join(sizes, by)
+    those still above take the first letter of the name; keys below `lower` fold into the country's unknown block.
 
-    geo, key = F.col("geo"), F.col("_key")
-    massive = (F.col("_rows") > upper) & ~key.rlike(PIN_SUFFIX)
-    out = counted(rows.withColumn("_key", F.col("base_key")), "_key")
-    finer = F.concat(geo["country"], F.lit("_"), geo["chunk_2"], F.lit("_"), geo["chunk_1"])
-    out = out.withColumn("_key", F.when(massive & geo["chunk_2"].isNotNull(), finer).otherwise(key)).drop("_rows")
-    out = counted(out, "_key")
+    A key depends on base key, chunks and first letter alone, so rows are first counted by those (partial sums before
+    the shuffle, whatever one key's share of all rows); the passes run on that table of distinct combinations, and one
+    join brings the keys back. rows is read twice.
+    """
     letter = F.coalesce(F.nullif(F.substring("clean_name", 1, 1), F.lit("")), F.lit("z"))
-    out = out.withColumn("_key", F.when(massive, F.concat(key, F.lit("_"), letter)).otherwise(key)).drop("_rows")
-    out = counted(out, "_key")
-    tiny = F.concat(F.split(key, "_")[0], F.lit("_unknown"))
-    return out.withColumn("geo_block_key", F.when(F.col("_rows") < lower, tiny).otherwise(key)).drop("_rows", "_key")
+    own = rows.withColumns({"_base": F.col("base_key"), "_c": F.col("geo")["country"], "_1": F.col("geo")["chunk_1"], "_2": F.col("geo")["chunk_2"], "_letter": letter})
+    by = [*scope, "_base", "_c", "_1", "_2", "_letter"]
+    combos = own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.col("_base"))
+    size = F.sum("_n").over(Window.partitionBy(*scope, "_key"))
+    massive = (F.col("_rows") > upper) & ~F.col("_key").rlike(PIN_SUFFIX)
+    combos = combos.withColumn("_rows", size).withColumn("_key", F.when(massive & F.col("_2").isNotNull(), F.concat_ws("_", "_c", "_2", "_1")).otherwise(F.col("_key")))
+    combos = combos.withColumn("_rows", size).withColumn("_key", F.when(massive, F.concat_ws("_", "_key", "_letter")).otherwise(F.col("_key")))
+    tiny = F.concat(F.split("_key", "_")[0], F.lit("_unknown"))
+    combos = combos.withColumn("_rows", size).withColumn("geo_block_key", F.when(F.col("_rows") < lower, tiny).otherwise(F.col("_key")))
+    named = combos.select(*[F.col(c).alias(f"k{c}") for c in by], "geo_block_key")
+    same = [F.col(c).eqNullSafe(F.col(f"k{c}")) if c in ("_1", "_2") else F.col(c) == F.col(f"k{c}") for c in by]
+    return own.join(named, same).drop(*[f"k{c}" for c in by], *[c for c in by if c not in scope])
 
 
 def threshold_sweep(rows: DataFrame, thresholds: list[int]) -> DataFrame:

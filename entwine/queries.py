@@ -51,7 +51,8 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
-    return plans.normalize(_records(spark, sf_dir), config)
+    """Normalized records, persisted where several retrievers read them (Spark spills or recomputes what is lost)."""
+    return plans.normalize(_records(spark, sf_dir), config).persist()
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
