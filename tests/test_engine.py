@@ -172,3 +172,25 @@ def test_empty_tables(spark):
     truth = spark.createDataFrame([], files.TRUTH)
     report = evaluation.recall_report(pool.candidate_pool(rows, CONFIG), evaluation.true_pairs(truth, rows), rows).first()
     assert report["recall"] is None and report["candidate_pairs"] == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from entwine.__main__ import main
+    from entwine.sources import load
+
+    *sources, truth = records.synthetic(spark, 40, 60, 60, seed=11)
+    load.save(sources, truth, str(tmp_path / "in"), "train")
+    main(["sample", str(tmp_path / "in"), str(tmp_path / "small"), "--truth-rows", "8", "--noise-rows", "10"])
+    assert load.exists(spark, str(tmp_path / "small/sample_source1.tsv"))
+    main(["pool", str(tmp_path / "small"), str(tmp_path / "out"), "--top-k", "3"])
+    assert '"recall"' in capsys.readouterr().out
+    submitted = files.read_tsv(spark, str(tmp_path / "out/matching_results.tsv"), files.TRUTH)
+    assert submitted.count() == files.read_source(spark, str(tmp_path / "small/sample_source1.tsv")).count()
+    main(["sweep", str(tmp_path / "small"), "--thresholds", "2", "5"])
+    assert "max_block_size" in capsys.readouterr().out
+
+
+def test_load_falls_back_to_synthetic(spark, tmp_path):
+    from entwine.sources import load
+
+    assert load.load(spark, str(tmp_path / "none"), n1=5, n2=6, n3=7)[2].count() == 7
