@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Ids of eight bytes up to which `without` broadcasts (some 50 MB in an executor).
+BROADCAST_ROWS = 1_000_000
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +54,17 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone, all columns as they were. Rows that share a doc_id go together; a
+    row with a null doc_id stays.
+
+    The ids are counted first: up to BROADCAST_ROWS of them go to every executor, so that texts are not shuffled;
+    more are joined by a shuffle.
+    """
+    ids = stage(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def gapless(df: DataFrame, group: str, order: list[str], rows: int, name: str, per_cell: int = 200_000) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... without bringing a group into one task.
 

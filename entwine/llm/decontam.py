@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import utf8, without
 
 #: Fixed masks over word positions: 1 is hashed, 0 is ignored, so that a substituted word there does no harm. Within
 #: the tolerance below, every pattern of substitutions leaves some place of some mask untouched (a test goes through
@@ -176,5 +176,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark passage, all columns as they were."""
-    gone = leaks(docs, benchmark).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, leaks(docs, benchmark).where("NOT kept"))

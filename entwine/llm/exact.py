@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, stage_path
+from .common import stage, stage_path, without
 
 #: Rows up to which the hit list may be broadcast: 32-byte digests, so 32 MB at most.
 BROADCAST_ROWS = 500_000
@@ -79,5 +79,4 @@ def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
 
     Where the kept doc_id itself is repeated, every row of that doc_id and text stays (nothing tells them apart).
     """
-    gone = exact_groups(docs, keep).where("NOT kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, exact_groups(docs, keep).where("NOT kept"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, utf8
+from .common import components, stage, utf8, without
 
 #: Permutations. Each gives its minimum and its maximum, so a signature has twice as many values.
 PERMUTATIONS = 128
@@ -245,5 +245,4 @@ def _repeats(sketch: DataFrame) -> bool:
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near duplicates, all columns as they were."""
-    gone = near_groups(docs, k, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_groups(docs, k, percent).where("NOT kept"))

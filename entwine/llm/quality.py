@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import stage, utf8, without
 
 #: Hashed feature dimensions.
 DIMENSIONS = 1 << 13
@@ -215,5 +215,4 @@ def grade(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def drop_junk(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the documents that the scorer rejects, all columns as they were."""
-    gone = grade(docs, threshold).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, grade(docs, threshold).where("NOT kept"))
