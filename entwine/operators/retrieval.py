@@ -1,12 +1,16 @@
-"""Sparse retrieval between sources: BM25, block TF-IDF and word TF-IDF, each an equi-join on postings.
+"""Sparse retrieval between sources: BM25, block TF-IDF and word TF-IDF, each a bounded scan of postings.
 
 Weights are fixed-point integers (units of 1e-6), so sums do not depend on the order of rows and ties are real ties.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +33,142 @@ def top_k(pairs: DataFrame, k: int, score: str) -> DataFrame:
     return pairs.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank")
 
 
+#: Postings in a target block and query terms in a chunk: what one task of the scan holds (some 50 MB).
+TARGET_POSTINGS, QUERY_TERMS = 1_000_000, 200_000
+#: Records in a geographic block up to which one task holds it whole.
+BLOCK_RECORDS = 20_000
+
+
+def _best(sums: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest positive sums, largest first, ties by place."""
+    at = np.flatnonzero(sums > 0)
+    if len(at) > k:
+        least = np.partition(sums[at], len(at) - k)[len(at) - k]
+        at = at[sums[at] >= least]
+    return at[np.lexsort((at, -sums[at]))[:k]]
+
+
+def _scan(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, rows: np.ndarray, post: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best targets of one query: its terms' postings (rows, post; term t from starts[t]) are added up in whole numbers."""
+    size = starts[terms + 1] - starts[terms]
+    at = np.repeat(starts[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    sums = np.bincount(rows[at], np.repeat(weights, size) * post[at], n)
+    best = _best(sums, k)
+    return best, sums[best]
+
+
+def _pairs_batch(a: list, b: list, t: list, s: list) -> pa.Table:
+    return pa.table({"entity_A": pa.array(a, pa.string()), "entity_B": pa.array(b, pa.string()), "t_source": pa.array(t, pa.int32()), "_s": pa.array(s, pa.int64())})
+
+
+PAIRS = "entity_A string, entity_B string, t_source int, _s long"
+
+
+def _scan_block(k: int):
+    def run(key, queries: pa.Table, targets: pa.Table) -> pa.Table:
+        if not queries.num_rows or not targets.num_rows:
+            return _pairs_batch([], [], [], [])
+        names = pc.unique(targets["entity_B"].combine_chunks()).sort()
+        words = targets["token"].combine_chunks().dictionary_encode()
+        rows = pc.index_in(targets["entity_B"].combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64)
+        term = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(term, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))])
+        rows, post = rows[order], targets["t_w"].to_numpy()[order].astype(np.float64)
+        known = pc.index_in(queries["token"].combine_chunks(), words.dictionary)
+        own = queries["entity_A"].combine_chunks().dictionary_encode()
+        keep = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+        term = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[keep]
+        query, weight = own.indices.to_numpy(zero_copy_only=False)[keep], queries["q_w"].to_numpy()[keep].astype(np.float64)
+        order = np.argsort(query, kind="stable")
+        query, term, weight = query[order], term[order], weight[order]
+        edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]])) if len(query) else np.array([0])
+        ids, targets_ids = own.dictionary.to_pylist(), names.to_pylist()
+        a, b, s = [], [], []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            best, sums = _scan(term[lo:hi], weight[lo:hi], starts, rows, post, len(names), k)
+            a += [ids[query[lo]]] * len(best)
+            b += [targets_ids[i] for i in best]
+            s += sums.tolist()
+        return _pairs_batch(a, b, [key[1].as_py()] * len(a), [int(x) for x in s])
+
+    return run
+
+
+def scan_top_k(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
+    """(entity_A, entity_B, t_source, _s): the top_k targets by the sum of q_w * t_w over common tokens of a part.
+
+    queries: part, q_source, entity_A, token, q_w. targets: part, t_source, token, entity_B, t_w. Weights are whole
+    numbers. A plain join would make a row for every common token of every pair. Here each part's targets are cut into
+    blocks and its queries into chunks of bounded size; a task holds one chunk and one block, adds up postings in
+    arrays and hands on k rows per query; a window takes the best of all blocks. So rows made are queries times
+    blocks times k, and a frequent token costs no more than its postings.
+    """
+    t_sizes = targets.groupBy("part", "t_source").agg(F.ceil(F.count(F.lit(1)) / TARGET_POSTINGS).alias("blocks"))
+    q_sizes = queries.groupBy("part", "q_source").agg(F.ceil(F.count(F.lit(1)) / QUERY_TERMS).alias("chunks"))
+    met = t_sizes.join(q_sizes, "part").where(_job(config))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    key = ["part", "t_source", "block", "q_source", "chunk"]
+    q = queries.join(met, ["part", "q_source"]).withColumn("chunk", F.pmod(F.xxhash64("entity_A"), F.col("chunks"))).withColumn("block", numbers("blocks"))
+    t = targets.join(met, ["part", "t_source"]).withColumn("block", F.pmod(F.xxhash64("entity_B"), F.col("blocks"))).withColumn("chunk", numbers("chunks"))
+    # Both sides may stem from one table: new aliases keep their columns apart in the cogroup.
+    typed = lambda df, *columns: df.select(*[F.col(c).cast("int").alias(c) if c.endswith("source") else F.col(c).alias(c) for c in (*key, *columns)])
+    q, t = typed(q, "entity_A", "token", "q_w"), typed(t, "token", "entity_B", "t_w")
+    found = q.groupBy(*key).cogroup(t.groupBy(*key)).applyInArrow(_scan_block(config.top_k), PAIRS)
+    return top_k(found, config.top_k, "_s")
+
+
+def _grams(document: str, low: int, high: int) -> Counter:
+    out: Counter = Counter()
+    for word in document.lower().split():
+        w = f" {word} "
+        for n in range(low, min(high, len(w)) + 1):
+            out.update([w[i : i + n] for i in range(len(w) - n + 1)])
+    return out
+
+
+def _geo_block(config: BlockingConfig):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("entity_id")
+        source, ids = table["source"].to_numpy(), table["entity_id"].to_pylist()
+        counts = [_grams(d or "", *config.ngram_range) for d in table["search_document"].to_pylist()]
+        vocabulary: dict[str, int] = {}
+        term = np.array([vocabulary.setdefault(g, len(vocabulary)) for c in counts for g in c], dtype=np.int64)
+        tf = np.array([n for c in counts for n in c.values()], dtype=np.float64)
+        upto = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), np.diff(upto))
+        a, b, t, s = [], [], [], []
+        for target in sorted({t for _, t in config.jobs}):
+            own = np.flatnonzero(source == target)
+            askers = [q for q, x in config.jobs if x == target]
+            if not len(own) or not np.isin(source, askers).any():
+                continue
+            mine = source[row] == target
+            df = np.bincount(term[mine], minlength=len(vocabulary))
+            idf = np.where(df > 0, np.log((1 + len(own)) / (1 + df)) + 1, 0.0)
+            w = np.floor(UNIT * tf * idf[term] + 0.5)
+            # Squares pass 2 ** 53 only beyond what a double holds exactly; long doubles hold them here.
+            norm = np.sqrt(np.add.reduceat((w.astype(np.longdouble) ** 2), upto[:-1][np.diff(upto) > 0]).astype(np.float64)) if len(w) else np.empty(0)
+            norms = np.ones(len(ids))
+            norms[np.diff(upto) > 0] = np.where(norm > 0, norm, 1)
+            unit = np.floor(UNIT * w / norms[row] + 0.5)
+            local = np.full(len(ids), -1)
+            local[own] = np.arange(len(own))
+            order = np.flatnonzero(mine)[np.argsort(term[mine], kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(df)])
+            rows, post = local[row[order]], unit[order]
+            for q in np.flatnonzero(np.isin(source, askers)):
+                lo, hi = upto[q], upto[q + 1]
+                best, sums = _scan(term[lo:hi], unit[lo:hi], starts, rows, post, len(own), config.top_k)
+                a += [ids[q]] * len(best)
+                b += [ids[own[i]] for i in best]
+                t += [target] * len(best)
+                s += [int(x) for x in sums]
+        return _pairs_batch(a, b, t, s)
+
+    return run
+
+
 def term_counts(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> DataFrame:
     """(part, source, entity, token, tf, dl); part is the country, lower-cased but not trimmed. Rows without a country
     are left out. dl counts repeated tokens."""
@@ -56,8 +196,7 @@ def bm25_postings(counts: DataFrame, stats: DataFrame, config: BlockingConfig) -
 def bm25_top_k(rows: DataFrame, column: str, score: str, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     """(entity_A, entity_B, score) of the best matches of every query in each target source of its country.
 
-    One join of query terms (with their counts) and postings on (country, token), partial and final sums, one window.
-    With max_df_ratio, query terms that more than that share of the target's rows hold are dropped from the queries.
+    Query terms (with their counts) meet postings of their country and token in scan_top_k. With max_df_ratio, query terms that more than that share of the target's rows hold are dropped from the queries.
     """
     counts = term_counts(rows, column, config.stopwords)
     postings = bm25_postings(counts, corpus_stats(rows, column, config.stopwords), config)
@@ -66,20 +205,34 @@ def bm25_top_k(rows: DataFrame, column: str, score: str, config: BlockingConfig
     queries = counts.where(F.col("source").isin(sorted({q for q, _ in config.jobs})))
     queries = queries.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), "tf")
     targets = postings.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), "w")
-    scored = queries.join(targets, ["part", "token"]).where(_job(config))
-    scored = scored.groupBy("entity_A", "entity_B", "t_source").agg(F.sum(F.col("tf") * F.col("w")).alias("_s")).where("_s > 0")
-    return top_k(scored, config.top_k, "_s").select("entity_A", "entity_B", (F.col("_s") / UNIT).alias(score))
+    best = scan_top_k(queries.withColumnRenamed("tf", "q_w"), targets.withColumnRenamed("w", "t_w"), config)
+    return best.select("entity_A", "entity_B", (F.col("_s") / UNIT).alias(score))
 
 
 def geo_top_k(rows: DataFrame, config: BlockingConfig = BlockingConfig(), score: str = "geo_ngram_score") -> DataFrame:
-    """(entity_A, entity_B, score): cosine of character n-gram TF-IDF inside geographic blocks.
+    """(entity_A, entity_B, score): cosine of character n-gram TF-IDF inside geographic blocks, best k per query and
+    target source. Blocks that end in _unknown are left out.
+
+    Block keys keep blocks small; those of up to BLOCK_RECORDS records are each one task's work. Larger ones, which
+    postal codes may still give, go through joins that need no block in one place. Both add up the same whole numbers.
+    """
+    held = rows.where(~F.col("geo_block_key").endswith("_unknown"))
+    size = held.groupBy("geo_block_key").agg(F.count(F.lit(1)).alias("_n"))
+    sized = held.select("entity_id", "source", "search_document", "geo_block_key").join(size, "geo_block_key")
+    few = sized.where(F.col("_n") <= BLOCK_RECORDS).select("geo_block_key", "entity_id", F.col("source").cast("int").alias("source"), "search_document")
+    small = few.groupBy("geo_block_key").applyInArrow(_geo_block(config), PAIRS)
+    large = _geo_joined(sized.where(F.col("_n") > BLOCK_RECORDS), config)
+    return small.union(large).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
+
+
+def _geo_joined(held: DataFrame, config: BlockingConfig) -> DataFrame:
+    """The geographic retriever by joins on (block, n-gram).
 
     The inverse document frequency is the target source's in the block; a query's n-grams that the target source lacks
-    are dropped before its norm is taken, so a query has one norm per target source. Blocks that end in _unknown are
-    left out. Only blocks with rows of both sources of a job meet.
+    are dropped before its norm is taken, so a query has one norm per target source. Only blocks with rows of both
+    sources of a job meet.
     """
     low, high = config.ngram_range
-    held = rows.where(~F.col("geo_block_key").endswith("_unknown"))
     grams = held.select(F.col("geo_block_key").alias("block"), "source", F.col("entity_id").alias("entity"), F.explode(text.char_ngrams(F.col("search_document"), low, high)).alias("gram"))
     tf = grams.groupBy("block", "source", "entity", "gram").agg(F.count(F.lit(1)).alias("tf"))
     targets = sorted({t for _, t in config.jobs})
@@ -95,7 +248,7 @@ def geo_top_k(rows: DataFrame, config: BlockingConfig = BlockingConfig(), score:
     q = unit.where(F.col("source") != F.col("t_source")).select("block", "t_source", "gram", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), F.col("w").alias("q_w"))
     t = unit.where(F.col("source") == F.col("t_source")).select("block", "t_source", "gram", F.col("entity").alias("entity_B"), F.col("w").alias("t_w"))
     scored = q.join(t, ["block", "t_source", "gram"]).groupBy("entity_A", "entity_B", "t_source").agg(F.sum(F.col("q_w") * F.col("t_w")).alias("_s")).where("_s > 0")
-    return top_k(scored, config.top_k, "_s").select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
+    return top_k(scored, config.top_k, "_s").select("entity_A", "entity_B", F.col("t_source").cast("int").alias("t_source"), "_s")
 
 
 def _job_of(query: str, config: BlockingConfig) -> Column:
@@ -121,5 +274,4 @@ def word_tfidf_top_k(rows: DataFrame, column: str, score: str, config: BlockingC
     unit = weighted.join(norms, ["part", "source", "entity"]).select("part", "source", "entity", "token", F.round(UNIT * F.col("w") / F.col("norm")).cast("long").alias("w"))
     q = unit.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), F.col("w").alias("q_w"))
     t = unit.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), F.col("w").alias("t_w"))
-    scored = q.join(t, ["part", "token"]).where(_job(config)).groupBy("entity_A", "entity_B", "t_source").agg(F.sum(F.col("q_w") * F.col("t_w")).alias("_s")).where("_s > 0")
-    return top_k(scored, config.top_k, "_s").select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
+    return scan_top_k(q, t, config).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
