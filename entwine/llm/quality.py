@@ -19,7 +19,7 @@ from .common import stage, utf8, without
 DIMENSIONS = 1 << 13
 #: Documents that the scorer is fitted on, at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
-CACHE = 400_000
+CACHE = 150_000
 
 SYMBOLS = b"#$%&*@|~^<>{}[]\\=+_"
 #: A-Z become X, a-z and non-ASCII bytes x, digits 9; the rest stays.
@@ -203,8 +203,12 @@ def grade(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     seen = docs.select("doc_id", utf8().alias("text")).mapInArrow(_measured, "doc_id long, n_words long, votes string, idx array<int>, val array<float>")
     seen = stage(seen, "features")
-    model = LabelModel({r["votes"]: r["c"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("c")).collect()})
-    sample = seen.where("n_words > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(SAMPLE).select("votes", "idx", "val").toPandas()
+    counts = {r["votes"]: r["c"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("c")).collect()}
+    model = LabelModel(counts)
+    # Twice the wanted share of hashes first: a limit alone would send SAMPLE rows of every partition to the driver.
+    share = min(1.0, 2 * SAMPLE / max(sum(counts.values()), 1))
+    few = seen.where("n_words > 0").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = few.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "votes").limit(SAMPLE).select("votes", "idx", "val").toPandas()
     weights = fit_scorer(list(sample["idx"]), list(sample["val"]), np.array([model.posterior[v] for v in sample["votes"]]))
     scored = seen.mapInArrow(_scored(spark.sparkContext.broadcast(weights)), "doc_id long, n_words long, votes string, score double")
     posterior = spark.createDataFrame(list(model.posterior.items()) or [("", 0.0)], "votes string, posterior double")
