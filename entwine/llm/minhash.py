@@ -17,12 +17,12 @@ from .common import components, stage, utf8, without
 PERMUTATIONS = 128
 #: Signature values per band; 2 * 128 // 6 = 42 bands. A pair at similarity 0.8 shares no band with probability 3e-6.
 ROWS = 6
-#: Rows up to which a list of 8-byte ids or keys may be broadcast (some 50 MB in an executor).
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a list of keys with two numbers each may be broadcast (some 50 MB in an executor).
+BROADCAST_ROWS = 400_000
 #: Shingles in a block of the second round (1 MB, and as much again for the block it meets).
 BLOCK_ITEMS = 1 << 17
 #: Words whose hashes a Python worker remembers; beyond that it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 _hashes: dict[bytes, int] = {}
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
