@@ -33,17 +33,17 @@ from .common import stage_path
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
 PROB_BITS = 20
-LANES = 1024
+LANES = 2048
 #: Interleaved steps between checkpoints.
-STEP = 256
+STEP = 128
 #: A block is closed once it holds as many tokens; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 19
 LOW = np.uint64(1 << 31)
 HEADER = struct.Struct("<4sHIQIIQIII")
 MAGIC = b"RAS1"
-#: Chunks between white space whose ids a Python worker remembers (the first ones it meets, which are the frequent
-#: ones), and bytes of text that it takes at once.
-CACHE, SLICE = 400_000, 8_000_000
+#: Chunks between white space, and words inside them, whose ids a Python worker remembers (the first ones it meets,
+#: which are the frequent ones); and bytes of text that it takes at once.
+CACHE, WORDS, SLICE = 400_000, 900_000, 8_000_000
 
 
 class Frequencies:
@@ -208,7 +208,7 @@ class Ids:
         if x is None:
             letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
             x = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(self.parts) < CACHE:
+            if len(self.parts) < WORDS:
                 self.parts[word] = x
         return x
 
