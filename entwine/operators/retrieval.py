@@ -34,7 +34,7 @@ def top_k(pairs: DataFrame, k: int, score: str) -> DataFrame:
 
 
 #: Postings in a target block and query terms in a chunk: what one task of the scan holds (some 50 MB).
-TARGET_POSTINGS, QUERY_TERMS = 1_000_000, 200_000
+TARGET_POSTINGS, QUERY_TERMS = 1_000_000, 50_000
 #: Records in a geographic block up to which one task holds it whole.
 BLOCK_RECORDS = 20_000
 
@@ -51,6 +51,12 @@ def _best(sums: np.ndarray, k: int) -> np.ndarray:
 def _scan(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, rows: np.ndarray, post: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Best targets of one query: its terms' postings (rows, post; term t from starts[t]) are added up in whole numbers."""
     size = starts[terms + 1] - starts[terms]
+    if size.sum() > 200 * len(terms):  # long postings: one addition for each term (a term holds a target once)
+        sums = np.zeros(n)
+        for lo, hi, weight in zip(starts[terms].tolist(), starts[terms + 1].tolist(), weights.tolist()):
+            sums[rows[lo:hi]] += weight * post[lo:hi]
+        best = _best(sums, k)
+        return best, sums[best]
     at = np.repeat(starts[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
     sums = np.bincount(rows[at], np.repeat(weights, size) * post[at], n)
     best = _best(sums, k)
@@ -95,17 +101,18 @@ def _scan_block(k: int):
     return run
 
 
-def scan_top_k(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
+def scan_top_k(queries: DataFrame, targets: DataFrame, sizes: DataFrame, config: BlockingConfig) -> DataFrame:
     """(entity_A, entity_B, t_source, _s): the top_k targets by the sum of q_w * t_w over common tokens of a part.
 
     queries: part, q_source, entity_A, token, q_w. targets: part, t_source, token, entity_B, t_w. Weights are whole
-    numbers. A plain join would make a row for every common token of every pair. Here each part's targets are cut into
+    numbers. sizes: part, source, terms (how many rows there are at most, to cut by). A plain join would make a row for every common token of every pair. Here each part's targets are cut into
     blocks and its queries into chunks of bounded size; a task holds one chunk and one block, adds up postings in
     arrays and hands on k rows per query; a window takes the best of all blocks. So rows made are queries times
     blocks times k, and a frequent token costs no more than its postings.
     """
-    t_sizes = targets.groupBy("part", "t_source").agg(F.ceil(F.count(F.lit(1)) / TARGET_POSTINGS).alias("blocks"))
-    q_sizes = queries.groupBy("part", "q_source").agg(F.ceil(F.count(F.lit(1)) / QUERY_TERMS).alias("chunks"))
+    cut = lambda n: F.greatest(F.ceil(F.col("terms") / n), F.lit(1))
+    t_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("t_source"), cut(TARGET_POSTINGS).alias("blocks"))
+    q_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("q_source"), cut(QUERY_TERMS).alias("chunks"))
     met = t_sizes.join(q_sizes, "part").where(_job(config))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     key = ["part", "t_source", "block", "q_source", "chunk"]
@@ -114,6 +121,9 @@ def scan_top_k(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -
     # Both sides may stem from one table: new aliases keep their columns apart in the cogroup.
     typed = lambda df, *columns: df.select(*[F.col(c).cast("int").alias(c) if c.endswith("source") else F.col(c).alias(c) for c in (*key, *columns)])
     q, t = typed(q, "entity_A", "token", "q_w"), typed(t, "token", "entity_B", "t_w")
+    # A number of one's own: few bytes stand for much work here, and AQE would gather them in one task.
+    tasks = 4 * int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, t = q.repartition(tasks, *key), t.repartition(tasks, *key)
     found = q.groupBy(*key).cogroup(t.groupBy(*key)).applyInArrow(_scan_block(config.top_k), PAIRS)
     return top_k(found, config.top_k, "_s")
 
@@ -199,13 +209,15 @@ def bm25_top_k(rows: DataFrame, column: str, score: str, config: BlockingConfig
     Query terms (with their counts) meet postings of their country and token in scan_top_k. With max_df_ratio, query terms that more than that share of the target's rows hold are dropped from the queries.
     """
     counts = term_counts(rows, column, config.stopwords)
-    postings = bm25_postings(counts, corpus_stats(rows, column, config.stopwords), config)
+    stats = corpus_stats(rows, column, config.stopwords)
+    postings = bm25_postings(counts, stats, config)
     if config.max_df_ratio is not None:
         postings = postings.where(F.col("df") <= config.max_df_ratio * F.col("n"))
     queries = counts.where(F.col("source").isin(sorted({q for q, _ in config.jobs})))
     queries = queries.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), "tf")
     targets = postings.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), "w")
-    best = scan_top_k(queries.withColumnRenamed("tf", "q_w"), targets.withColumnRenamed("w", "t_w"), config)
+    sizes = stats.select("part", "source", (F.col("n") * F.col("avgdl")).alias("terms"))
+    best = scan_top_k(queries.withColumnRenamed("tf", "q_w"), targets.withColumnRenamed("w", "t_w"), sizes, config)
     return best.select("entity_A", "entity_B", (F.col("_s") / UNIT).alias(score))
 
 
@@ -220,6 +232,7 @@ def geo_top_k(rows: DataFrame, config: BlockingConfig = BlockingConfig(), score:
     size = held.groupBy("geo_block_key").agg(F.count(F.lit(1)).alias("_n"))
     sized = held.select("entity_id", "source", "search_document", "geo_block_key").join(size, "geo_block_key")
     few = sized.where(F.col("_n") <= BLOCK_RECORDS).select("geo_block_key", "entity_id", F.col("source").cast("int").alias("source"), "search_document")
+    few = few.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "geo_block_key")  # as above
     small = few.groupBy("geo_block_key").applyInArrow(_geo_block(config), PAIRS)
     large = _geo_joined(sized.where(F.col("_n") > BLOCK_RECORDS), config)
     return small.union(large).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
@@ -274,4 +287,5 @@ def word_tfidf_top_k(rows: DataFrame, column: str, score: str, config: BlockingC
     unit = weighted.join(norms, ["part", "source", "entity"]).select("part", "source", "entity", "token", F.round(UNIT * F.col("w") / F.col("norm")).cast("long").alias("w"))
     q = unit.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), F.col("w").alias("q_w"))
     t = unit.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), F.col("w").alias("t_w"))
-    return scan_top_k(q, t, config).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
+    sizes = source.groupBy("part", "source").agg(F.sum(F.size(text.tokens(F.col("doc"), ()))).alias("terms"))
+    return scan_top_k(q, t, sizes, config).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
