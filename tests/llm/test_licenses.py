@@ -1,4 +1,5 @@
 import re
+from re import _parser as parser
 
 import pytest
 
@@ -73,3 +74,60 @@ def test_scores_and_labels(spark):
 
 def test_empty_and_null(empty, nullish):
     assert licenses.scan(empty).count() == 0 and licenses.scan(nullish).count() == 3
+
+
+def examples(part):
+    """A text for every branch, with and without what is optional (one at a time), of a parsed pattern."""
+    base, out = b"", []
+    for op, arg in part:
+        many = [b""]
+        if op is parser.LITERAL:
+            many = [bytes([arg])]
+        elif op is parser.ANY:
+            many = [b"x"]
+        elif op is parser.IN:
+            first = arg[0]
+            many = [b"\n" if first[0] is parser.CATEGORY else bytes([first[1][0] if first[0] is parser.RANGE else first[1]])]
+        elif op is parser.SUBPATTERN:
+            many = examples(arg[3])
+        elif op is parser.BRANCH:
+            many = [x for branch in arg[1] for x in examples(branch)]
+        elif op is parser.MAX_REPEAT or op is parser.MIN_REPEAT:
+            inner = examples(arg[2])
+            spaced = inner == [b"\n"] and arg[1] > 1
+            many = ([b" \t\n"] if spaced else [x * max(1, arg[0]) for x in inner]) + ([b""] if not arg[0] else [])
+        out = [o + many[0] for o in out] + [base + m for m in many[1:]]
+        base += many[0]
+    return [base, *out]
+
+
+def ungated(text):
+    all_rules = licenses.rules()
+    return sum(1 for r in all_rules for m in r.pattern.finditer(text) if m.end() > m.start())
+
+
+def test_gated_equals_ungated_on_every_rule_and_branch():
+    seen = 0
+    for r in licenses.rules():
+        plain = {x for x in examples(parser.parse(r.pattern.pattern, re.S)) if r.pattern.search(x)}
+        assert plain, r.pattern.pattern
+        for text in plain:
+            collapsed = b" %b " % b" ".join(text.split())
+            assert all(any(k in collapsed for k in any_of) for any_of in r.needs), (r.label, r.kind, text)
+            seen += 1
+    assert seen > 1000
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("released under the Mulan PSL v2", "mulan"), ("distributed under CeCILL", "cecill"), ("https://www.mozilla.org/MPL/2.0/", "mpl"), ("https://www.gnu.org/copyleft/gpl.html", "gpl"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"), ("Commons Clause condition", "commons-clause"), ("https://mariadb.com/bsl11/", "busl"),
+        ("https://scripts.sil.org/OFL", "ofl"), ("neither the name of X nor the names of its contributors may be used to endorse", "bsd"), ("GNU General\n   Public License", "gpl"),
+        ("this work is in the public\ndomain and is  released to the public \t domain", "public-domain"), ("all\nrights reserved", "proprietary"),
+    ],
+)
+def test_no_gate_hides_what_a_rule_matches(text, label):
+    text = text.lower().encode()
+    found, lost = licenses.detect(text)
+    assert label in [d[2].label for d in found] and len(found) + lost == ungated(text)
