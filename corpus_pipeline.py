@@ -18,13 +18,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the smallest doc_id."""
-    return exact.drop_copies(docs, keep="min")
+    """One row of each group of equal texts: the smallest doc_id."""
+    return exact.drop_copies(docs, keep="min", repeats=False)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8."""
-    return minhash.drop_near(docs, k=5, percent=80)
+    """One row of each group linked by five-word shingles at a similarity of 0.8."""
+    return minhash.drop_near(docs, k=5, percent=80, repeats=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

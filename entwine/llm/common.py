@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: staging, word rules, gapless ranks, components."""
+"""Shared pieces of the training-data operators: staging, word rules, row numbers, gapless ranks, components."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Ids of eight bytes up to which `without` broadcasts (some 50 MB in an executor).
 BROADCAST_ROWS = 1_000_000
+#: The column of row numbers while a stage decides.
+ROW = "_entwine_row"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -54,15 +56,43 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone, all columns as they were. Rows that share a doc_id go together; a
-    row with a null doc_id stays.
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, staged, with a number in ROW that no two rows share: a doc_id may be null or repeated."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
-    The ids are counted first: up to BROADCAST_ROWS of them go to every executor, so that texts are not shuffled;
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """The rows' numbers in place of their doc_id, and their texts, for operators that read doc_id and text."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def outnumbered(rows: DataFrame, groups: DataFrame, keep: str = "min", repeats: bool = True) -> DataFrame:
+    """The numbers of the rows that leave their group, given groups (doc_id, group) with row numbers as doc_id.
+
+    The smallest (or, for "max", the largest) doc_id of a group stays, null only in a group of null ids alone. With
+    repeats all rows of that doc_id stay, else the one with the smallest number. Nothing is gathered by group but
+    one row per task; rows meet what stays by their own number or by group and doc_id.
+    """
+    members = stage(groups.select(F.col("doc_id").alias(ROW), "group").join(rows.select(ROW, F.col("doc_id").alias("_id")), ROW), "members")
+    if keep == "min":
+        best = F.min(F.struct(F.isnull("_id").alias("x"), "_id", F.col(ROW).alias("r")))["r"]
+    else:
+        best = -F.max(F.struct(F.isnotnull("_id").alias("x"), "_id", (-F.col(ROW)).alias("r")))["r"]
+    stay = stage(members.groupBy("group").agg(best.alias(ROW)).select(ROW), "stay")
+    if not repeats:
+        return members.join(stay, ROW, "left_anti").select(ROW)
+    stay = members.join(stay, ROW, "left_semi").select(F.col("group").alias("g"), F.col("_id").alias("i"))
+    return members.join(stay, (F.col("group") == F.col("g")) & F.col("_id").eqNullSafe(F.col("i")), "left_anti").select(ROW)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """numbered() rows without those whose numbers are in gone (unique), all columns as they were before numbering.
+
+    The numbers are counted first: up to BROADCAST_ROWS of them go to every executor, so that texts are not shuffled;
     more are joined by a shuffle.
     """
-    ids = stage(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+    ids = stage(gone.select(ROW), "gone")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ROW, "left_anti").drop(ROW)
 
 
 def gapless(df: DataFrame, group: str, order: list[str], rows: int, name: str, per_cell: int = 200_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, stage_path, without
+from .common import by_row, numbered, outnumbered, stage, stage_path, without
 
 #: Rows up to which the hit list may be broadcast: 32-byte digests, so 32 MB at most.
 BROADCAST_ROWS = 500_000
@@ -74,9 +74,13 @@ def exact_groups(docs: DataFrame, keep: str = "min") -> DataFrame:
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
+def drop_copies(docs: DataFrame, keep: str = "min", repeats: bool = True) -> DataFrame:
     """docs without the exact copies: of each group the row with the kept doc_id stays, with all its columns.
 
-    Where the kept doc_id itself is repeated, every row of that doc_id and text stays (nothing tells them apart).
+    Decided by row, so that a row with a null doc_id goes too, and a doc_id with several texts loses none of them by
+    another's copy. Where the kept doc_id itself is repeated, every row of that doc_id and text stays with repeats,
+    else one of them.
     """
-    return without(docs, exact_groups(docs, keep).where("NOT kept"))
+    rows = numbered(docs)
+    groups = exact_groups(by_row(rows)).where("group_size > 1").select("doc_id", F.col("keep_id").alias("group"))
+    return without(rows, outnumbered(rows, groups, keep, repeats))

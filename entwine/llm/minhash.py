@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, utf8, without
+from .common import by_row, components, numbered, outnumbered, stage, utf8, without
 
 #: Permutations. Each gives its minimum and its maximum, so a signature has twice as many values.
 PERMUTATIONS = 128
@@ -243,6 +243,9 @@ def _repeats(sketch: DataFrame) -> bool:
     return bool(sketch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
 
 
-def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, all columns as they were."""
-    return without(docs, near_groups(docs, k, percent).where("NOT kept"))
+def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, repeats: bool = True) -> DataFrame:
+    """docs with one document of each group of near duplicates, all columns as they were. Decided by row, as in
+    exact.drop_copies: rows that repeat the kept doc_id stay with repeats, else one of them."""
+    rows = numbered(docs)
+    groups = near_groups(by_row(rows), k, percent).select("doc_id", F.col("component_id").alias("group"))
+    return without(rows, outnumbered(rows, groups, "min", repeats))

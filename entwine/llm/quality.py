@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8, without
+from .common import ROW, numbered, stage, utf8, without
 
 #: Hashed feature dimensions.
 DIMENSIONS = 1 << 13
@@ -112,8 +112,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx.append(i)
             val.append(v)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(votes, pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))],
-            names=["doc_id", "n_words", "votes", "idx", "val"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(votes, pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())), *batch.columns[2:]],
+            names=["doc_id", "n_words", "votes", "idx", "val", *batch.schema.names[2:]],
         )
 
 
@@ -184,7 +184,7 @@ def _scored(weights):
             sizes = np.diff(lists.offsets.to_numpy())
             col, x = lists.flatten().to_numpy(), vals.flatten().to_numpy()
             z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), x * w[col], len(sizes)) + w[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "n_words", "votes", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50)))), *batch.columns[5:]], names=["doc_id", "n_words", "votes", "score", *batch.schema.names[5:]])
 
     return run
 
@@ -198,10 +198,12 @@ def grade(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     SAMPLE documents and scores all; kept is score >= threshold.
 
     Null or empty text, or white space only: never kept, score 0. Repeated rows give repeated rows. Empty table: no
-    rows. Only doc_id and text are read.
+    rows. Only doc_id and text are read; the numbers of numbered() rows are handed on.
     """
     spark = docs.sparkSession
-    seen = docs.select("doc_id", utf8().alias("text")).mapInArrow(_measured, "doc_id long, n_words long, votes string, idx array<int>, val array<float>")
+    number = [ROW] if ROW in docs.columns else []
+    more = "".join(f", {c} long" for c in number)
+    seen = docs.select("doc_id", utf8().alias("text"), *number).mapInArrow(_measured, f"doc_id long, n_words long, votes string, idx array<int>, val array<float>{more}")
     seen = stage(seen, "features")
     counts = {r["votes"]: r["c"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("c")).collect()}
     model = LabelModel(counts)
@@ -210,13 +212,14 @@ def grade(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     few = seen.where("n_words > 0").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < int(share * (1 << 40)))
     sample = few.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "votes").limit(SAMPLE).select("votes", "idx", "val").toPandas()
     weights = fit_scorer(list(sample["idx"]), list(sample["val"]), np.array([model.posterior[v] for v in sample["votes"]]))
-    scored = seen.mapInArrow(_scored(spark.sparkContext.broadcast(weights)), "doc_id long, n_words long, votes string, score double")
+    scored = seen.mapInArrow(_scored(spark.sparkContext.broadcast(weights)), f"doc_id long, n_words long, votes string, score double{more}")
     posterior = spark.createDataFrame(list(model.posterior.items()) or [("", 0.0)], "votes string, posterior double")
     score = F.when(F.col("n_words") == 0, 0.0).otherwise(F.col("score"))
     out = scored.join(F.broadcast(posterior), "votes", "left").withColumn("score", score)  # at most 3 ** labellers rows
-    return out.select("doc_id", "n_words", "votes", "posterior", "score", (F.col("score") >= threshold).alias("kept"))
+    return out.select("doc_id", "n_words", "votes", "posterior", "score", (F.col("score") >= threshold).alias("kept"), *number)
 
 
 def drop_junk(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the documents that the scorer rejects, all columns as they were."""
-    return without(docs, grade(docs, threshold).where("NOT kept"))
+    rows = numbered(docs)
+    return without(rows, grade(rows, threshold).where("NOT kept"))

@@ -50,3 +50,22 @@ def test_stages_against_brute_force(spark, folder):
     whole = corpus_pipeline.run(spark, path)
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, whole.collect()))
     assert {r["doc_id"] for r in whole.collect()} == set(kept["benchmark decontamination"])
+
+
+def test_stages_decide_by_row(spark, folder):
+    """Repeated rows, a doc_id with several texts, and null ids."""
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 70) for _ in range(4))
+    near = f"{c} tail"
+    frame = lambda rows: spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    stages, texts = dict(corpus_pipeline.STAGES), lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    run = lambda name, rows: texts(stages[name](spark, frame(rows), folder[0]))
+    order = lambda rows: sorted(rows, key=repr)
+    assert run("exact dedup", [(5, a), (5, b), (3, b), (5, a), (None, b), (None, d), (None, d)]) == order([(5, a), (3, b), (None, d)])
+    assert run("near dedup", [(1, c), (1, c), (2, near), (2, a), (None, near), (None, d), (None, d), (7, None), (8, "")]) == order([(1, c), (2, a), (None, d), (7, None), (8, "")])
+    leak = f"{prose(rng, 30)} {folder[2][0][1]}"
+    assert run("benchmark decontamination", [(1, a), (1, leak), (None, leak), (None, b)]) == order([(1, a), (None, b)])
+    good = [(i, t) for i, t in folder[1] if i < 400 and i % 2]
+    bad = junk(rng, 0)
+    got = run("quality classifier", [*good, (1, bad), (None, bad), (None, a)])
+    assert bad not in {t for _, t in got} and (None, a) in got and set(good) <= set(got)
