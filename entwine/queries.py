@@ -272,5 +272,5 @@ def sample_truth(spark, sf_dir):
 
 @query()
 def synthetic_sources(spark, sf_dir):
-    first, second, third, _ = records.synthetic(spark, 2000, 4500, 4700)
+    first, second, third, _ = records.synthetic(spark)
     return plans.union_sources(first, second, third).withColumn("source", F.col("source").cast("int"))
