@@ -17,17 +17,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 #: The column of row numbers while a stage decides.
 ROW = "_entwine_row"
+#: Folders of local sessions by application.
+_local: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The shared folder for staged tables: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
+    folder of its own; a cluster has no folder that is known to be shared, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="entwine-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="entwine-")
+    return _local[context.applicationId]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
