@@ -311,7 +311,7 @@ def _shared(counts: DataFrame, n: int) -> tuple[dict, Column]:
     masses = counts.groupBy(ending.alias("e")).agg(F.sum(F.col("c") + 1).alias("m")).toArrow()  # at most 65,793 endings
     by_ending = dict(zip(masses["e"].to_pylist(), masses["m"].to_pylist()))
     for w, k in zip(names[:targets].to_pylist(), c.tolist()):
-        if w in by_ending:
+        if w[-2:] in by_ending:
             by_ending[w[-2:]] -= k + 1
     endings = {e: i for i, (e, _) in enumerate(sorted(by_ending.items(), key=lambda x: (-x[1], x[0]))[: ENDINGS - 1])}
     mass = np.zeros(ENDINGS)
