@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Digits, letters and all non-ASCII bytes stay, A-Z become lower case, other ASCII becomes a space.
+LETTERS = bytes(b if b > 127 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 #: Ids of eight bytes up to which `without` broadcasts (some 50 MB in an executor).
 BROADCAST_ROWS = 1_000_000
 #: The column of row numbers while a stage decides.
@@ -100,6 +102,21 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ROW, "left_anti").drop(ROW)
 
 
+def join_spread(many: DataFrame, one: DataFrame, on: str, size: str, salt: str, hot: int = 20_000) -> DataFrame:
+    """many joined with one, which has a row for each value of `on` and in `size` the number of many's rows under it.
+
+    A value with more than `hot` rows is dealt over several tasks: its row of `one` is repeated for every `hot` of them
+    and many's rows choose among the repeats by a hash of the column `salt`. `hot` grows with the table, so that at most 100,000
+    values are hot; these are broadcast with their numbers of repeats.
+    """
+    total = one.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    repeats = F.ceil(F.col(size) / max(hot, total // 100_000)).cast("long")
+    heavy = one.where(repeats > 1).select(on, repeats.alias("_repeats"))
+    dealt = many.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), F.coalesce("_repeats", F.lit(1).cast("long")))).drop("_repeats")
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(repeats, F.lit(1).cast("long")) - 1))).drop(size)
+    return dealt.join(spread, [on, "_salt"]).drop("_salt")
+
+
 def gapless(df: DataFrame, group: str, order: list[str], rows: int, name: str, per_cell: int = 200_000) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... without bringing a group into one task.
 
