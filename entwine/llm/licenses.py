@@ -11,13 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import LETTERS, utf8
 
 #: Base phrases: their words must stand one after another.
 PHRASES = {(b"mit", b"license"): "mit", (b"apache", b"license"): "apache", (b"general", b"public", b"license"): "gpl"}
 
-#: Digits, letters and all non-ASCII bytes stay, A-Z become lower case, other ASCII becomes a space.
-TABLE = bytes(b if b > 127 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
 #: One line per license: label | name | SPDX identifiers | address. Each is a pattern over lower-cased
 #: text in which a space stands for any white space. An empty field gives no rule.
@@ -236,7 +234,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words, lower = text.translate(TABLE).split(), text.lower()
+            words, lower = text.translate(LETTERS).split(), text.lower()
             places = phrase_places(words) if b"license" in lower else []
             found, lost = detect(lower)
             out.append((
