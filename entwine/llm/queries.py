@@ -65,7 +65,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def _near_sql(percent: int) -> str:
     """Two-word shingles, all pairs that share one, and the closure of the links."""
     return rf"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-
+]+') AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
@@ -76,41 +77,37 @@ SELECT d.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_
 FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
-def _trust_sql(rounds: int) -> str:
-    """The rules, and both propagations written out round by round in whole numbers."""
+def _trust_sql() -> str:
+    """The rules, and both propagations as one recursion in whole numbers, until nothing is handed on."""
     host = f"coalesce(translate(regexp_extract({{0}}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '')"
     link = urls.LINK.replace("'", "''")
     rule = verdict = "NULL"
     for kind, h, p in sorted(urls.RULES, key=lambda r: len(r[1]) + len(r[2])):
         fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
-    steps, d = [], urls.DAMPING
-    for name, source, target, vote in (("t", "src", "dst", "good"), ("d", "dst", "src", "bad")):
-        steps.append(f"{name}flow AS (SELECT {source} AS src, {target} AS dst, n, sum(n) OVER (PARTITION BY {source}) AS total FROM edges)")
-        steps.append(f"{name}0 AS (SELECT host, ({vote}::HUGEINT * {urls.SCALE} // greatest((SELECT sum({vote}) FROM votes), 1))::BIGINT AS mass FROM votes WHERE {vote} > 0)")
-        for i in range(rounds):
-            steps.append(
-                f"{name}{i + 1} AS (SELECT host, sum(mass)::BIGINT AS mass FROM (SELECT dst AS host, ((mass * {d} // 1000)::HUGEINT * n // total)::BIGINT AS mass "
-                f"FROM {name}flow JOIN {name}{i} ON src = host UNION ALL SELECT host, mass - mass * {d} // 1000 FROM {name}0) GROUP BY host)"
-            )
     return f"""
-WITH parsed AS (SELECT page_id, html, {host.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE parsed AS (SELECT page_id, html, {host.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 judged AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM parsed),
-linked AS (SELECT src, {host.format("url")} AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS url FROM judged WHERE host <> '')),
+linked AS (SELECT src, {host.format("':' || url")} AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS url FROM judged WHERE host <> '')),
 labels AS (SELECT DISTINCT string_split(host, '.') AS l FROM judged WHERE host <> ''),
 up AS (SELECT DISTINCT array_to_string(s, '.') AS src, array_to_string(s[2:], '.') AS dst FROM (SELECT l[i + 1:] AS s FROM (SELECT l, unnest(range(0, greatest(len(l) - 1, 1))) AS i FROM labels)) WHERE len(s) > 2),
-edges AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, count(*) AS n FROM linked WHERE dst <> '' AND dst <> src GROUP BY ALL
+edges AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT src, dst, count(*) AS n FROM linked WHERE dst <> '' AND dst <> src GROUP BY ALL
     UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY ALL),
-votes AS (SELECT host, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM judged WHERE host <> '' GROUP BY host),
-{", ".join(steps)}
-SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-    coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
-FROM judged j LEFT JOIN t{rounds} t ON t.host = j.host LEFT JOIN d{rounds} d ON d.host = j.host"""
+flow AS (SELECT *, sum(n) OVER (PARTITION BY kind, src)::BIGINT AS total FROM
+    (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges)),
+walk AS (SELECT CASE by_rule WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, (count(*) * {urls.SCALE})::BIGINT AS mass
+        FROM judged WHERE host <> '' AND by_rule IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT f.kind, f.dst, sum(((w.mass // 1000 * {urls.DAMPING} + w.mass % 1000 * {urls.DAMPING} // 1000)::HUGEINT * f.n // f.total)::BIGINT)::BIGINT
+        FROM walk w JOIN flow f ON f.kind = w.kind AND f.src = w.host WHERE w.mass >= {urls.LEAST} GROUP BY 1, 2),
+marks AS (SELECT host, sum(mass) FILTER (kind = 'trust') AS t, sum(mass) FILTER (kind = 'distrust') AS d FROM walk GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+    coalesce(t, 0)::BIGINT AS trust, coalesce(d, 0)::BIGINT AS distrust
+FROM judged j LEFT JOIN marks m ON m.host = j.host"""
 
 
 ORACLES = {
     "op7_min_max_hash": _near_sql(80),
-    "op8_host_trust": _trust_sql(8),
+    "op8_host_trust": _trust_sql(),
     "op9_merge_index": """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
