@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, components, numbered, outnumbered, stage, utf8, without
+from .common import ROW, by_row, components, join_spread, numbered, outnumbered, stage, utf8, without
 
 #: Permutations. Each gives its minimum and its maximum, so a signature has twice as many values.
 PERMUTATIONS = 128
@@ -21,6 +21,8 @@ ROWS = 6
 BROADCAST_ROWS = 400_000
 #: Shingles in a block of the second round (1 MB, and as much again for the block it meets).
 BLOCK_ITEMS = 1 << 17
+#: Members of a pivot that one task holds against it; a larger group is dealt over several.
+MEMBERS = 2_000
 #: Words whose hashes a Python worker remembers; beyond that it starts anew.
 CACHE = 200_000
 
@@ -116,10 +118,11 @@ def _bounded(keys: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
+    """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union. An `a` of many pairs is dealt
+    over several tasks, and its set is sent once to each."""
+    left = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = join_spread(pairs.join(right, "b"), left, "a", "c", "b", MEMBERS)
     both = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("i"), (F.size("items_a") + F.size("items_b")).cast("long").alias("s"))
     return both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
 
@@ -135,13 +138,13 @@ def _rest(member: DataFrame, part: DataFrame, sets: DataFrame, percent: int) ->
     """
     member = member.join(part, "node", "left").select("pivot", "node", "n", F.coalesce("component", "node").alias("part"))
     per = member.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items"))
-    mixed = per.groupBy("pivot").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("items", F.struct("c", "part")).alias("main_items"), F.sum("items").alias("items"))
+    mixed = per.groupBy("pivot").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("items", F.struct("c", "part")).alias("main_items"), F.sum("items").alias("items"), F.sum("c").alias("c"))
     blocks = lambda c: F.ceil(c / BLOCK_ITEMS)
     small = F.col("items") <= BLOCK_ITEMS
     mixed = mixed.where("parts > 1").select(
-        "pivot", "main", F.when(small, 1).otherwise(blocks(F.col("items") - F.col("main_items"))).alias("n_rest"), F.when(small, 0).otherwise(blocks(F.col("main_items"))).alias("n_main")
+        "pivot", "c", "main", F.when(small, 1).otherwise(blocks(F.col("items") - F.col("main_items"))).alias("n_rest"), F.when(small, 0).otherwise(blocks(F.col("main_items"))).alias("n_main")
     )
-    dealt = member.join(mixed, "pivot")
+    dealt = join_spread(member, stage(mixed, "mixed"), "pivot", "c", "node")
     hashed = F.xxhash64("node", F.lit(11))
     outside = (F.col("part") != F.col("main")) | (F.col("n_main") == 0)
     dealt = dealt.withColumn("block", F.when(outside, F.pmod(hashed, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(hashed, F.greatest("n_main", F.lit(1)))))
@@ -208,20 +211,26 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     component change nothing and are left out. That second round works block against block and emits no pairs but
     links (see _rest). No bucket is capped.
 
-    Null or empty text, or white space only: n_shingles 0, linked with nothing, kept. Null doc_id: the row takes
-    its class's component; in a class of null ids alone component_id is null and the row is kept. Repeated rows
-    share a class, and the rows of the kept doc_id are all kept. Empty table: no rows. Other columns are ignored.
+    Null or empty text, or white space only: n_shingles 0, linked with nothing, kept. Where a doc_id is null or
+    repeated, rows are numbered first and linked by number, so a doc_id may have several texts: component_id is then
+    the smallest doc_id of the linked rows, null where all of them are null; rows with that doc_id are kept, and those
+    of a component of null ids. Empty table: no rows. Other columns are ignored.
     """
+    if _repeats(docs):
+        return _by_number(docs, k, percent)
     own = docs.select("doc_id", utf8().alias("text"))
     sketch = stage(own.mapInArrow(_sketch(k), "doc_id long, n long, digest binary, keys array<long>"), "sketch")
-    # A class is named by its smallest doc_id; its size goes with its digest.
-    classes = stage(sketch.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    banded = sketch.where("n > 0").join(classes, "digest").where("doc_id = node").select("node", "n", F.explode("keys").alias("key"))
-    banded = banded.distinct() if _repeats(sketch) else banded
-    shared = stage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "keys")
-    buckets = stage(banded.join(_bounded(shared), "key").select("key", "node", "n", "pivot", "pivot_n"), "buckets")
+    # A class is named by its smallest doc_id.
+    classes = stage(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("c")), "classes")
+    named = classes.select(F.col("node").alias("doc_id"), "digest")
+    banded = sketch.where("n > 0").join(named, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1")
+    shared = stage(shared.select("key", "c", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "keys")
+    few = shared.count() <= BROADCAST_ROWS
+    met = banded.join(F.broadcast(shared), "key") if few else join_spread(banded, shared, "key", "c", "node")
+    buckets = stage(met.select("key", "node", "n", "pivot", "pivot_n"), "buckets")
     nodes = stage(buckets.select("node").distinct(), "nodes")
-    texts = own.join(_bounded(nodes), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    texts = own.join(_bounded(nodes), F.col("doc_id") == F.col("node"), "left_semi")
     sets = stage(texts.mapInArrow(_sets(k), "node long, items array<long>"), "sets")
 
     sized = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
@@ -233,14 +242,25 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     extra = stage(_rest(buckets.where("node <> pivot").select("pivot", "node", "n").distinct(), part, sets, percent), "links")
     part = components(links.union(extra))
 
-    whole = sketch.select("doc_id", "n", "digest").join(classes, "digest", "left").join(part, "node", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    places = stage(classes.join(part, "node", "left").select("digest", "c", F.coalesce("component", "node").alias("component")), "places")
+    whole = join_spread(sketch.select("doc_id", "n", "digest"), places, "digest", "c", "doc_id")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _repeats(sketch: DataFrame) -> bool:
-    """Whether any doc_id is repeated; then a class's bands could come twice from one doc_id."""
-    return bool(sketch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
+def _repeats(docs: DataFrame) -> bool:
+    """Whether any doc_id is null or repeated."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").isEmpty()
+
+
+def _by_number(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_groups() over rows that are numbered, with doc_ids in place of the numbers."""
+    rows = numbered(docs.select("doc_id", "text"))
+    groups = near_groups(by_row(rows), k, percent).withColumnRenamed("doc_id", ROW)
+    members = stage(rows.select(ROW, "doc_id").join(groups, ROW), "members")
+    least = stage(members.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")), "least")
+    out = join_spread(members.select(ROW, "doc_id", "n_shingles", "component_id"), least, "component_id", "c", ROW)
+    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("least"), F.col("least").isNull()).alias("kept"))
 
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, repeats: bool = True) -> DataFrame:

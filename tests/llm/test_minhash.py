@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from entwine.llm import minhash
-from entwine.llm.common import components
+from entwine.llm.common import components, join_spread
 from tests.llm.conftest import SCHEMA, edited, prose
 
 
@@ -35,10 +35,14 @@ def test_components_against_brute_force(docs, rows, k):
     assert sorted(map(tuple, minhash.near_groups(docs, k).collect())) == brute(rows, k)
 
 
-@pytest.mark.parametrize("block", [1 << 17, 300])
-def test_large_near_group_with_outsiders(spark, monkeypatch, block):
-    """Members that only reach the group through others, and documents just outside; small blocks split the group."""
+@pytest.mark.parametrize(("block", "hot", "few"), [(1 << 17, 2000, 400_000), (300, 5, 0)])
+def test_large_near_group_with_outsiders(spark, monkeypatch, block, hot, few):
+    """Members that only reach the group through others, and documents just outside; small blocks split the group,
+    small limits deal its pivot, keys and classes over several tasks."""
     monkeypatch.setattr(minhash, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(minhash, "MEMBERS", hot)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(minhash, "join_spread", lambda *a: join_spread(*a[:5], hot=hot))
     rng = random.Random(4)
     base = prose(rng, 80)
     texts = [edited(rng, base, share) for share in [0.02] * 25 + [0.05] * 25 + [0.08] * 25 + [0.12] * 15]
@@ -48,6 +52,16 @@ def test_large_near_group_with_outsiders(spark, monkeypatch, block):
     assert len({r[2] for r in got}) > 2
 
 
+def test_ids_with_several_texts_and_null_ids(spark):
+    """Linked by row; named by the smallest doc_id of the linked rows."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (3, f"{b} more"), (None, f"{a} more"), (None, c), (9, f"{c} more"), (9, f"{c} more"), (7, None), (7, " ")]
+    got = minhash.near_groups(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA), 2).collect()
+    want = [(5, 5, True), (5, 3, False), (3, 3, True), (None, 5, False), (None, 9, False), (9, 9, True), (9, 9, True), (7, 7, True), (7, 7, True)]
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
