@@ -1,22 +1,23 @@
 """Token ids in a compressed binary format: static range asymmetric numeral system with shared frequency tables.
 
-A block holds whole documents and is independent of other blocks: its tokens are dealt to interleaved lanes (token i
-to lane i mod lanes), each lane with a 64-bit state that is renormalised by 32-bit words. Checkpoints hold all lane
-states and the place in the word stream, so that parts of one block can be decoded in parallel. Two checksums cover
-the stored words and the decoded ids.
-
-Block layout, little-endian: header (magic, prob_bits u16, lanes u32, tokens u64, step u32, checkpoints u32, words
-u64, crc32 of words u32, crc32 of ids u32, crc32 of the table u32), then for each checkpoint the word offset u64 and
-`lanes` states u64, then the words u32.
+A block holds a bounded number of tokens and is independent of other blocks: its tokens are dealt to interleaved lanes
+(token i to lane i mod lanes), each lane with a 64-bit state that is renormalised by 32-bit words. Every STEP steps is a
+checkpoint: all lane states and the words up to the next one. A checkpoint with its words is a section, which is decoded by
+itself and has checksums of its own, so that the sections of one block, and of one long document, are decoded in parallel.
+
+Section layout, little-endian: header (magic, prob_bits u16, lanes u32, tokens u64, words u64, crc32 of words u32, crc32 of
+ids u32, crc32 of the table u32), then `lanes` states u64, then the words u32.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import stage_path
+from .common import stage, stage_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
@@ -36,11 +37,11 @@ PROB_BITS = 20
 LANES = 2048
 #: Interleaved steps between checkpoints.
 STEP = 128
-#: A block is closed once it holds as many tokens; a longer document makes a longer block.
+#: Tokens of a block; a document that does not fit goes on in the next.
 BLOCK_TOKENS = 1 << 19
 LOW = np.uint64(1 << 31)
-HEADER = struct.Struct("<4sHIQIIQIII")
-MAGIC = b"RAS1"
+HEADER = struct.Struct("<4sHIQQIII")
+MAGIC = b"RAS2"
 #: Chunks between white space, and words inside them, whose ids a Python worker remembers (the first ones it meets,
 #: which are the frequent ones); and bytes of text that it takes at once.
 CACHE, WORDS, SLICE = 400_000, 900_000, 8_000_000
@@ -76,15 +77,14 @@ class Frequencies:
         return cls(freq)
 
 
-def encode(ids: np.ndarray, table: Frequencies, lanes: int = LANES, step: int = STEP) -> bytes:
-    """One block from token ids."""
+def encode(ids: np.ndarray, table: Frequencies, lanes: int = LANES, step: int = STEP) -> list[bytes]:
+    """One block from token ids, as its sections in order."""
     n = len(ids)
     lanes = max(1, min(lanes, -(-n // 16)))
-    steps = -(-n // lanes)
     x = np.full(lanes, LOW, dtype=np.uint64)
-    words, marks, bits = [], [], np.uint64(PROB_BITS)
+    words, sections, bits = [], [], np.uint64(PROB_BITS)
     ids = ids.astype(np.int64)
-    for t in range(steps - 1, -1, -1):
+    for t in range(-(-n // lanes) - 1, -1, -1):
         s = ids[t * lanes : (t + 1) * lanes]
         f, y = table.freq[s], x[: len(s)]
         full = y >= (f << np.uint64(63 - PROB_BITS))
@@ -93,48 +93,62 @@ def encode(ids: np.ndarray, table: Frequencies, lanes: int = LANES, step: int =
         q = y // f
         x[: len(s)] = (q << bits) + (y - q * f) + table.start[s]
         if t % step == 0:
-            marks.append((t, x.copy()))
-    words.reverse()
-    sizes = np.cumsum([0, *map(len, words)])
-    body = np.concatenate(words).tobytes() if words else b""
-    points = b"".join(struct.pack("<Q", int(sizes[t])) + s.astype("<u8").tobytes() for t, s in reversed(marks))
-    return HEADER.pack(MAGIC, PROB_BITS, lanes, n, step, len(marks), len(body) // 4, zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()), table.crc) + points + body
-
-
-def decode(block: bytes, table: Frequencies, part: int | None = None) -> np.ndarray:
-    """The block's token ids (u4), checked against both checksums; with part, only what follows that checkpoint up
-    to the next (the ids' checksum then can't be checked)."""
-    magic, bits, lanes, n, step, points, n_words, crc_words, crc_ids, crc_table = HEADER.unpack_from(block)
+            body, own = np.concatenate(words[::-1]).tobytes(), ids[t * lanes : (t + step) * lanes].astype("<u4").tobytes()
+            sections.append(HEADER.pack(MAGIC, PROB_BITS, lanes, len(own) // 4, len(body) // 4, zlib.crc32(body), zlib.crc32(own), table.crc) + x.astype("<u8").tobytes() + body)
+            words = []
+    return sections[::-1]
+
+
+def tokens_in(section: bytes) -> int:
+    return HEADER.unpack_from(section)[3]
+
+
+def decode(section: bytes, table: Frequencies) -> np.ndarray:
+    """A section's token ids (u4), checked against both checksums."""
+    magic, bits, lanes, n, n_words, crc_words, crc_ids, crc_table = HEADER.unpack_from(section)
     if magic != MAGIC or bits != PROB_BITS or crc_table != table.crc:
-        raise ValueError("not a block of this format and table")
-    size = 8 + 8 * lanes
-    body = memoryview(block)[HEADER.size + points * size :]
+        raise ValueError("not a section of this format and table")
+    body = memoryview(section)[HEADER.size + 8 * lanes :]
     if len(body) != 4 * n_words or zlib.crc32(body) != crc_words:
-        raise ValueError("damaged block: words")
-    words, steps = np.frombuffer(body, dtype="<u4"), -(-n // lanes)
-    first, last = (0, steps) if part is None else (part * step, min(steps, (part + 1) * step))
-    out = np.empty(max(0, min(n, last * lanes) - first * lanes), dtype="<u4")
-    if n:
-        at = HEADER.size + (first // step) * size
-        pos = struct.unpack_from("<Q", block, at)[0]
-        x = np.frombuffer(block, dtype="<u8", count=lanes, offset=at + 8).copy()
-        mask = np.uint64((1 << bits) - 1)
-        for t in range(first, last):
-            k = min(lanes, n - t * lanes)
-            y = x[:k]
-            slot = y & mask
-            s = table.slots[slot]
-            y = table.freq[s] * (y >> np.uint64(bits)) + slot - table.start[s]
-            need = np.flatnonzero(y < LOW)
-            y[need] = (y[need] << np.uint64(32)) | words[pos : pos + len(need)]
-            pos += len(need)
-            x[:k] = y
-            out[(t - first) * lanes : (t - first) * lanes + k] = s
-    if part is None and zlib.crc32(out.tobytes()) != crc_ids:
-        raise ValueError("damaged block: ids")
+        raise ValueError("damaged section: words")
+    words, out = np.frombuffer(body, dtype="<u4"), np.empty(n, dtype="<u4")
+    x, pos, mask = np.frombuffer(section, dtype="<u8", count=lanes, offset=HEADER.size).copy(), 0, np.uint64((1 << bits) - 1)
+    for at in range(0, n, lanes):
+        k = min(lanes, n - at)
+        y = x[:k]
+        slot = y & mask
+        s = table.slots[slot]
+        y = table.freq[s] * (y >> np.uint64(bits)) + slot - table.start[s]
+        need = np.flatnonzero(y < LOW)
+        y[need] = (y[need] << np.uint64(32)) | words[pos : pos + len(need)]
+        pos += len(need)
+        x[:k] = y
+        out[at : at + k] = s
+    if zlib.crc32(out.tobytes()) != crc_ids:
+        raise ValueError("damaged section: ids")
+    return out
+
+
+def _product(a: int, b: int) -> int:
+    """Of two polynomials over GF(2), modulo that of crc32; the highest bit is the constant."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
     return out
 
 
+def joined_crc(first: int, second: int, size: int) -> int:
+    """The crc32 of two pieces, one after the other, from theirs and the second's bytes: first * x ** (8 * size) + second."""
+    shift, power = 1 << 31, 1 << 23
+    while size:
+        if size & 1:
+            shift = _product(shift, power)
+        power, size = _product(power, power), size >> 1
+    return _product(shift, first) ^ second
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabets write printable Latin-1 bytes as themselves and all others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -146,23 +160,45 @@ _LETTERS = _byte_letters()
 #: Chunks that the pre-tokenizer cuts in two at most: letters whose lower case is plain, then full stops or commas.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)").fullmatch
 _tokenizers: dict[str, tuple] = {}
+#: What a tokenizer file must say for chunks between white space to be tokenized by themselves, in lower case.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _by_chunks(spec: dict) -> bool:
+    """Whether the tokenizer lower-cases, cuts at white space and spells words by bytes."""
+    cut = spec.get("pre_tokenizer") or {}
+    kinds = [p.get("type") for p in cut.get("pretokenizers", ())]
+    splits = [p["pattern"].get("Regex", "") for p in cut.get("pretokenizers", ()) if p.get("type") == "Split"]
+    model = spec["model"]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and kinds == ["Split", "ByteLevel"] and not cut["pretokenizers"][1]["add_prefix_space"]
+        and splits[0].endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+") and model["type"] == "BPE" and not model.get("dropout")
+    )
 
 
 class Ids:
-    """Token ids of whole texts by a lower-casing BPE tokenizer whose tokens never cross white space.
+    """Token ids of whole texts, as 16-bit numbers; a tokenizer with larger ids is refused.
 
-    Texts are split and their chunks dictionary-encoded in Arrow; only a slice's distinct chunks are looked up in
+    A lower-casing byte-level BPE tokenizer whose tokens never cross white space goes by chunks; any other by whole
+    texts, in the library. By chunks, texts are split and their chunks dictionary-encoded in Arrow; only a slice's distinct chunks are looked up in
     Python, those never seen are tokenized, and numpy puts the ids together.
     """
 
     def __init__(self, path: str):
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path), {}, {}
-        self.tokenizer, self.seen, self.parts = _tokenizers[path]
+            tokenizer = Tokenizer.from_file(path)
+            if max(tokenizer.get_vocab().values(), default=0) >= 1 << 16:
+                raise ValueError("this format holds ids below 65,536")
+            with open(path, encoding="utf-8") as f:
+                _tokenizers[path] = tokenizer, {}, {}, _by_chunks(json.load(f))
+        self.tokenizer, self.seen, self.parts, self.chunks = _tokenizers[path]
         self.model = self.tokenizer.model
 
     def __call__(self, texts: pa.StringArray, end: int) -> pa.BinaryArray:
         """Of each text its ids and the end id, as little-endian 16-bit numbers."""
+        if not self.chunks:
+            codes = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return pa.array([np.array([*e.ids, end], dtype="<u2").tobytes() for e in codes], pa.binary())
         odd = pc.match_substring_regex(texts, "[\x0b\x0c]")  # white space for Arrow, perhaps not for the tokenizer
         if pc.any(odd).as_py():
             whole = {i: self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
@@ -235,56 +271,91 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["token", "n"])
 
 
+SECTIONS = "part long, block long, section long, start long, n_tokens long, doc_nos array<long>, doc_ids array<long>, totals array<long>, offsets array<long>, lengths array<long>, data binary"
+
+
 def _blocks(table):
+    """Sections of the task's documents in order. doc_nos count the documents of the part; of each piece of a document
+    in a section: the document's tokens, those before the piece, and the piece's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, part = Frequencies(table.value), TaskContext.get().partitionId()
-        docs, texts, size, start, number = [], [], 0, 0, 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([number]), pa.array([start]), pa.array([size]), pa.array([docs], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([encode(np.concatenate(texts), freq)], pa.binary())],
-                names=["part", "block", "start", "n_tokens", "doc_ids", "lengths", "data"],
-            )
+        held, size, start, number, doc_no = [], 0, 0, 0, 0  # held: (doc_no, doc_id, ids, offset in the document)
+
+        def block(wanted: int) -> pa.RecordBatch:
+            """From the first `wanted` held tokens; the rest stays held."""
+            nonlocal held, size, start, number
+            now, taken, rest = [], 0, []
+            for no, doc, ids, at in held:
+                n = min(len(ids) - at, wanted - taken)
+                if n:
+                    now.append((no, doc, ids, at, n, taken))
+                    taken += n
+                if at + n < len(ids):
+                    rest.append((no, doc, ids, at + n))
+            flat, rows, low = np.concatenate([ids[at : at + n] for _, _, ids, at, n, _ in now]), [], 0
+            for k, data in enumerate(encode(flat, freq, LANES, STEP)):
+                high = low + tokens_in(data)
+                pieces = []
+                for no, doc, ids, at, n, before in now[bisect_right([x[5] for x in now], low) - 1 : bisect_left([x[5] for x in now], high)]:
+                    lo, hi = max(low, before), min(high, before + n)
+                    pieces.append((no, doc, len(ids), at + lo - before, hi - lo))
+                rows.append((part, number, k, start + low, high - low, *map(list, zip(*pieces)), data))
+                low = high
+            held, size, start, number = rest, size - taken, start + taken, number + 1
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 5 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SECTIONS.split(", ")])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(ids, dtype="<u2")
-                docs.append(doc)
-                texts.append(x)
-                size += len(x)
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    start, number = start + size, number + 1
-                    docs, texts, size = [], [], 0
-        if docs:
-            yield block()
+                held.append((doc_no, doc, np.frombuffer(ids, dtype="<u2"), 0))
+                size, doc_no = size + len(ids) // 2, doc_no + 1
+                while size >= BLOCK_TOKENS:
+                    yield block(BLOCK_TOKENS)
+        if size:
+            yield block(size)
 
     return run
 
 
+PIECES = "part long, doc_no long, doc_id long, total long, start long, n_tokens long, ids_crc32 long"
+
+
 def _read(table):
+    """Pieces of documents, a section at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = Frequencies(table.value)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, at, out = decode(row["data"], freq), row["start"], []
-                for doc, n in zip(row["doc_ids"], row["lengths"]):
-                    own = ids[at - row["start"] : at - row["start"] + n]
-                    out.append((row["part"], doc, at, n, zlib.crc32(own.tobytes())))
+                ids, at, out = decode(row["data"], freq), 0, []
+                for no, doc, total, n in zip(row["doc_nos"], row["doc_ids"], row["totals"], row["lengths"]):
+                    out.append((row["part"], no, doc, total, row["start"] + at, n, zlib.crc32(ids[at : at + n].tobytes())))
                     at += n
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return run
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, doc_id, start, n_tokens, pieces in order) to (part, doc_id, start, n_tokens, ids_crc32)."""
+    for batch in batches:
+        out = []
+        for pieces in batch.column(4).to_pylist():
+            crc = 0
+            for p in pieces:
+                crc = joined_crc(crc, p["ids_crc32"], 4 * p["n_tokens"])
+            out.append(crc)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 2) -> None:
     """Tokenize all texts and write them under path: `table` (one row: the shared frequencies) and `blocks`.
 
     Texts are tokenized once, into a staged table. Tokens are counted over all documents (at most 65,536 sums reach
     the driver). Then the ids are dealt into ranges of doc_id, each range is sorted and its blocks are encoded in
     that order; part numbers ascend with doc_id.
-    The blocks are rows of Parquet files with a binary column, so that Spark's committer covers retried tasks and any
+    The blocks' sections are rows of Parquet files with a binary column, so that Spark's committer covers retried tasks and any
     file system will do. Null text counts as empty; null doc_ids come first; repeated rows are written as often.
     """
     spark = docs.sparkSession
@@ -298,21 +369,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 2)
     freq = Frequencies.from_counts(counts).freq.astype(np.int64)
     spark.createDataFrame([([int(f) for f in freq],)], "freq array<long>").coalesce(1).write.parquet(f"{path}/table")
     ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    schema = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
-    ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(freq)), schema).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(freq)), SECTIONS).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32. start counts the ids of all documents
-    before it: the block's place in its part, plus the parts before it (one sum per part, a number that the
-    cluster's partition count bounds)."""
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Sections are decoded each by itself. Documents that lie in one section are done there; the others' pieces meet by
+    document, and their checksums are joined in order. start counts the ids of all documents before it: the place in
+    its part, plus the parts before it (one sum per part, a number that the cluster's partition count bounds).
+    """
     freq = np.array(spark.read.parquet(f"{path}/table").first()["freq"], dtype=np.int64)
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = blocks.mapInArrow(_read(spark.sparkContext.broadcast(freq)), "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.join(parts, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    rows = stage(blocks.mapInArrow(_read(spark.sparkContext.broadcast(freq)), PIECES), "pieces")
+    whole = rows.where("n_tokens = total").select("part", "doc_id", "start", "n_tokens", "ids_crc32")
+    pieces = rows.where("n_tokens < total").groupBy("part", "doc_no").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32"))).alias("pieces")
+    )
+    joined = pieces.select("part", "doc_id", "start", "n_tokens", "pieces").mapInArrow(_put_together, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.union(joined).join(parts, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end: int = 2) -> DataFrame:

@@ -15,23 +15,29 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_round_trip_of_ids(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.2, n), 60_000).astype(np.uint32)
     table = rans.Frequencies.from_counts(np.bincount(ids, minlength=1 << 16))
-    block = rans.encode(ids, table, lanes=64, step=32)
-    assert (rans.decode(block, table) == ids).all()
-    lanes, step = max(1, min(64, -(-n // 16))), 32
-    parts = [rans.decode(block, table, p) for p in range(-(-(-(-n // lanes)) // step))]
+    sections = rans.encode(ids, table, lanes=64, step=32)
+    lanes = max(1, min(64, -(-n // 16)))
+    assert len(sections) == -(-n // (lanes * 32))
+    parts = [rans.decode(x, table) for x in reversed(sections)][::-1]  # each by itself, in any order
     assert n == 0 or (np.concatenate(parts) == ids).all()
 
 
+@pytest.mark.parametrize("sizes", [(0, 0), (3, 0), (0, 5), (7, 1), (1000, 12345)])
+def test_joined_checksums(sizes):
+    x, y = (np.random.default_rng(n + 1).bytes(n) for n in sizes)
+    assert rans.joined_crc(zlib.crc32(x), zlib.crc32(y), len(y)) == zlib.crc32(x + y)
+
+
 def test_damage_is_noticed():
     ids = np.arange(5000) % 50
     table = rans.Frequencies.from_counts(np.bincount(ids, minlength=1 << 16))
-    block = bytearray(rans.encode(ids, table))
+    block = bytearray(rans.encode(ids, table)[0])
     block[-3] ^= 1
     with pytest.raises(ValueError):
         rans.decode(bytes(block), table)
     other = rans.Frequencies.from_counts(np.bincount(ids % 7, minlength=1 << 16))
     with pytest.raises(ValueError):
-        rans.decode(rans.encode(ids, table), other)
+        rans.decode(rans.encode(ids, table)[0], other)
 
 
 def test_frequencies_keep_rare_tokens():
@@ -51,9 +57,11 @@ def test_files_against_whole_texts(docs, rows):
     assert sorted(map(tuple, rans.round_trip(docs, PATH).collect())) == want
 
 
-def test_small_blocks(docs, monkeypatch):
+def test_long_documents_go_over_sections_and_blocks(docs, monkeypatch):
     want = sorted(map(tuple, rans.round_trip(docs, PATH).collect()))
     monkeypatch.setattr(rans, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(rans, "LANES", 3)
+    monkeypatch.setattr(rans, "STEP", 4)
     assert sorted(map(tuple, rans.round_trip(docs, PATH).collect())) == want
 
 
@@ -64,6 +72,26 @@ def test_chunks_equal_the_tokenizer():
         assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(c, add_special_tokens=False).ids, c
 
 
+def test_other_tokenizers_go_by_whole_texts(tmp_path, rows):
+    """One that does not lower-case; one whose ids do not fit is refused."""
+    import json
+
+    import pyarrow as pa
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    tokenizer, ids = Tokenizer.from_file(str(tmp_path / "cased.json")), rans.Ids(str(tmp_path / "cased.json"))
+    texts = [r[1] or "" for r in rows[:30]] + ["The Cat's  9 lives", "a\x0bB"]
+    got = ids(pa.array(texts), 2).to_pylist()
+    assert not ids.chunks and rans.Ids(PATH).chunks
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    spec["added_tokens"] += [{**spec["added_tokens"][0], "id": 49408 + i, "content": f"<|x{i}|>"} for i in range(20_000)]
+    (tmp_path / "wide.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        rans.Ids(str(tmp_path / "wide.json"))
+
+
 def test_empty_and_null(empty, nullish):
     assert rans.round_trip(empty, PATH).count() == 0
     got = sorted((str(r["doc_id"]), r["start"], r["n_tokens"]) for r in rans.round_trip(nullish, PATH).collect())
