@@ -22,7 +22,7 @@ def sample(spark: SparkSession, args) -> None:
 def run_pool(spark: SparkSession, args) -> None:
     config = BlockingConfig(top_k=args.top_k, include_s2_s3=not args.skip_s2_s3, max_df_ratio=args.max_df_ratio, joint_thresholds=not args.per_source)
     *sources, truth = load.load(spark, args.input, args.prefix)
-    rows = normalize.normalize(normalize.union_sources(*sources), config).persist()
+    rows = normalize.normalize(normalize.check_ids(normalize.union_sources(*sources)), config).persist()
     pairs = pool.candidate_pool(rows, config).persist()
     pairs.write.mode("overwrite").parquet(f"{args.output}/pool")
     files.write_tsv(evaluation.submission(pairs, rows), f"{args.output}/matching_results.tsv")

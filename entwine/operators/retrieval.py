@@ -5,7 +5,6 @@ Weights are fixed-point integers (units of 1e-6), so sums do not depend on the o
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -34,37 +33,70 @@ def top_k(pairs: DataFrame, k: int, score: str) -> DataFrame:
 
 
 #: Postings in a target block and query terms in a chunk: what one task of the scan holds (some 50 MB).
-TARGET_POSTINGS, QUERY_TERMS = 1_000_000, 50_000
+TARGET_POSTINGS, QUERY_TERMS = 1_000_000, 25_000
 #: Records in a geographic block up to which one task holds it whole.
 BLOCK_RECORDS = 20_000
+#: Numbers in one array of the scan (32 MB).
+CELLS = 1 << 22
 
 
-def _best(sums: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest positive sums, largest first, ties by place."""
-    at = np.flatnonzero(sums > 0)
-    if len(at) > k:
-        least = np.partition(sums[at], len(at) - k)[len(at) - k]
-        at = at[sums[at] >= least]
-    return at[np.lexsort((at, -sums[at]))[:k]]
+def _tops(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, sum) of each row's k largest positive whole sums, largest first, ties by column.
 
-
-def _scan(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, rows: np.ndarray, post: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best targets of one query: its terms' postings (rows, post; term t from starts[t]) are added up in whole numbers."""
-    size = starts[terms + 1] - starts[terms]
-    if size.sum() > 200 * len(terms):  # long postings: one addition for each term (a term holds a target once)
-        sums = np.zeros(n)
-        for lo, hi, weight in zip(starts[terms].tolist(), starts[terms + 1].tolist(), weights.tolist()):
-            sums[rows[lo:hi]] += weight * post[lo:hi]
-        best = _best(sums, k)
-        return best, sums[best]
-    at = np.repeat(starts[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    sums = np.bincount(rows[at], np.repeat(weights, size) * post[at], n)
-    best = _best(sums, k)
-    return best, sums[best]
-
-
-def _pairs_batch(a: list, b: list, t: list, s: list) -> pa.Table:
-    return pa.table({"entity_A": pa.array(a, pa.string()), "entity_B": pa.array(b, pa.string()), "t_source": pa.array(t, pa.int32()), "_s": pa.array(s, pa.int64())})
+    The k-th largest of the maxima of 64 columns each is no more than the k-th largest sum, and few sums reach it.
+    """
+    rows, n = sums.shape
+    maxima = sums[:, : n // 64 * 64].reshape(rows, n // 64, 64).max(axis=2) if n // 64 > 2 * k else sums
+    bound = np.partition(maxima, maxima.shape[1] - k, axis=1)[:, maxima.shape[1] - k] if maxima.shape[1] > k else np.zeros(rows)
+    at = np.flatnonzero(sums >= np.maximum(bound, 0.5)[:, None])
+    row, col, s = at // n, at % n, sums.ravel()[at]
+    order = np.lexsort((col, -s, row))
+    row, col, s = row[order], col[order], s[order]
+    first = np.searchsorted(row, np.arange(rows))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep], s[keep]
+
+
+def _matches(edges: np.ndarray, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, rows: np.ndarray, post: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, target, sum) of all queries' k best targets: query q has the terms edges[q] to edges[q + 1], term t the
+    postings starts[t] to starts[t + 1] (rows, post).
+
+    Groups of queries against all n targets: terms that more than a tenth of the targets hold are one matrix product,
+    the others' postings are added up cell by cell. All numbers are whole and below 2 ** 53, so sums are exact.
+    """
+    df = np.diff(starts)
+    common = np.flatnonzero(10 * df > n)
+    common = common[np.argsort(-df[common], kind="stable")][: CELLS // max(n, 1)]
+    place, table = np.full(len(df), -1), np.zeros((len(common), n))
+    place[common] = np.arange(len(common))
+    for i, t in enumerate(common.tolist()):
+        table[i, rows[starts[t] : starts[t + 1]]] = post[starts[t] : starts[t + 1]]
+    spot = place[terms]
+    size = np.where(spot < 0, df[terms], 0)
+    work = np.concatenate([[0], np.cumsum(size)])[edges]
+    out, lo, last = [], 0, len(edges) - 1
+    while lo < last:
+        hi = min(last, lo + max(1, CELLS // n), max(lo + 1, int(np.searchsorted(work, work[lo] + CELLS, side="right")) - 1))
+        own = slice(edges[lo], edges[hi])
+        query, w, p, m = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1])), weights[own], spot[own], size[own]
+        at = np.repeat(starts[:-1][terms[own]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        sums = np.bincount(np.repeat(query * n, m) + rows[at], np.repeat(w, m) * post[at], (hi - lo) * n).astype(np.float64, copy=False).reshape(hi - lo, n)
+        if len(common):
+            asked = np.zeros((hi - lo, len(common)))
+            asked[query[p >= 0], p[p >= 0]] = w[p >= 0]
+            sums += asked @ table
+        row, col, s = _tops(sums, k)
+        out.append((row + lo, col, s))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, dtype=np.int64),) * 3
+
+
+def _pairs_batch(a: pa.Array, b: pa.Array, t: int, s: np.ndarray) -> pa.Table:
+    return pa.table({"entity_A": a.cast(pa.string()), "entity_B": b.cast(pa.string()), "t_source": pa.array(np.full(len(a), t), pa.int32()), "_s": pa.array(s.astype(np.int64))})
+
+
+def _no_pairs() -> pa.Table:
+    return _pairs_batch(pa.array([], pa.string()), pa.array([], pa.string()), 0, np.empty(0))
 
 
 PAIRS = "entity_A string, entity_B string, t_source int, _s long"
@@ -73,7 +105,7 @@ PAIRS = "entity_A string, entity_B string, t_source int, _s long"
 def _scan_block(k: int):
     def run(key, queries: pa.Table, targets: pa.Table) -> pa.Table:
         if not queries.num_rows or not targets.num_rows:
-            return _pairs_batch([], [], [], [])
+            return _no_pairs()
         names = pc.unique(targets["entity_B"].combine_chunks()).sort()
         words = targets["token"].combine_chunks().dictionary_encode()
         rows = pc.index_in(targets["entity_B"].combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -89,14 +121,8 @@ def _scan_block(k: int):
         order = np.argsort(query, kind="stable")
         query, term, weight = query[order], term[order], weight[order]
         edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]])) if len(query) else np.array([0])
-        ids, targets_ids = own.dictionary.to_pylist(), names.to_pylist()
-        a, b, s = [], [], []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            best, sums = _scan(term[lo:hi], weight[lo:hi], starts, rows, post, len(names), k)
-            a += [ids[query[lo]]] * len(best)
-            b += [targets_ids[i] for i in best]
-            s += sums.tolist()
-        return _pairs_batch(a, b, [key[1].as_py()] * len(a), [int(x) for x in s])
+        q, best, sums = _matches(edges, term, weight, starts, rows, post, len(names), k)
+        return _pairs_batch(own.dictionary.take(pa.array(query[edges[q]])), names.take(pa.array(best)), key[1].as_py(), sums)
 
     return run
 
@@ -113,7 +139,7 @@ def scan_top_k(queries: DataFrame, targets: DataFrame, sizes: DataFrame, config:
     cut = lambda n: F.greatest(F.ceil(F.col("terms") / n), F.lit(1))
     t_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("t_source"), cut(TARGET_POSTINGS).alias("blocks"))
     q_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("q_source"), cut(QUERY_TERMS).alias("chunks"))
-    met = t_sizes.join(q_sizes, "part").where(_job(config))
+    met = F.broadcast(t_sizes.join(q_sizes, "part").where(_job(config)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     key = ["part", "t_source", "block", "q_source", "chunk"]
     q = queries.join(met, ["part", "q_source"]).withColumn("chunk", F.pmod(F.xxhash64("entity_A"), F.col("chunks"))).withColumn("block", numbers("blocks"))
@@ -128,53 +154,61 @@ def scan_top_k(queries: DataFrame, targets: DataFrame, sizes: DataFrame, config:
     return top_k(found, config.top_k, "_s")
 
 
-def _grams(document: str, low: int, high: int) -> Counter:
-    out: Counter = Counter()
-    for word in document.lower().split():
-        w = f" {word} "
-        for n in range(low, min(high, len(w)) + 1):
-            out.update([w[i : i + n] for i in range(len(w) - n + 1)])
-    return out
-
+def _gram_counts(documents: list[str], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Character n-grams inside words, each word padded with a space on both sides: (document, gram, count) in order of
+    document, and the number of distinct grams. Grams are told apart by the numbers of their characters."""
+    joined = "\n".join(" " + "  ".join(d.lower().split()) + " " for d in documents) + "\n"
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+    letters, code = np.unique(points, return_inverse=True)
+    space, line = points == 32, points == 10
+    doc = np.cumsum(line) - line
+    # A gram must not hold the border of two words (two spaces) or of two documents.
+    border = np.concatenate([[0], np.cumsum((space[:-1] & space[1:]) | line[:-1] | line[1:])])
+    grams, owners, base, own = [], [], 0, code.astype(np.int64)
+    for n in range(1, high + 1):
+        if n > 1:
+            _, own = np.unique(own[:-1] * len(letters) + code[n - 1 :], return_inverse=True)
+        if n >= low:
+            at = np.flatnonzero(border[n - 1 :][: len(own)] == border[: len(own)])
+            at = at[~line[at]] if n == 1 else at
+            grams.append(own[at] + base)
+            owners.append(doc[at])
+            base += int(own.max(initial=-1)) + 1
+    words, gram = np.unique(np.concatenate(grams), return_inverse=True)
+    pair, count = np.unique(np.concatenate(owners) * max(len(words), 1) + gram, return_counts=True)
+    return pair // max(len(words), 1), pair % max(len(words), 1), count, len(words)
+
+
+def _geo_pairs(config: BlockingConfig):
+    """One block's pairs. Numbers as in _geo_joined."""
 
-def _geo_block(config: BlockingConfig):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("entity_id")
-        source, ids = table["source"].to_numpy(), table["entity_id"].to_pylist()
-        counts = [_grams(d or "", *config.ngram_range) for d in table["search_document"].to_pylist()]
-        vocabulary: dict[str, int] = {}
-        term = np.array([vocabulary.setdefault(g, len(vocabulary)) for c in counts for g in c], dtype=np.int64)
-        tf = np.array([n for c in counts for n in c.values()], dtype=np.float64)
-        upto = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64)
-        row = np.repeat(np.arange(len(ids)), np.diff(upto))
-        a, b, t, s = [], [], [], []
+        source, ids, out = table["source"].to_numpy(), table["entity_id"].combine_chunks(), []
+        row, term, count, size = _gram_counts([d or "" for d in table["search_document"].to_pylist()], *config.ngram_range)
+        tf, upto = count.astype(np.float64), np.searchsorted(row, np.arange(len(ids) + 1))
         for target in sorted({t for _, t in config.jobs}):
             own = np.flatnonzero(source == target)
-            askers = [q for q, x in config.jobs if x == target]
-            if not len(own) or not np.isin(source, askers).any():
+            asks = np.flatnonzero(np.isin(source, [q for q, x in config.jobs if x == target]))
+            if not len(own) or not len(asks):
                 continue
             mine = source[row] == target
-            df = np.bincount(term[mine], minlength=len(vocabulary))
+            df = np.bincount(term[mine], minlength=size)
             idf = np.where(df > 0, np.log((1 + len(own)) / (1 + df)) + 1, 0.0)
             w = np.floor(UNIT * tf * idf[term] + 0.5)
             # Squares pass 2 ** 53 only beyond what a double holds exactly; long doubles hold them here.
-            norm = np.sqrt(np.add.reduceat((w.astype(np.longdouble) ** 2), upto[:-1][np.diff(upto) > 0]).astype(np.float64)) if len(w) else np.empty(0)
-            norms = np.ones(len(ids))
-            norms[np.diff(upto) > 0] = np.where(norm > 0, norm, 1)
-            unit = np.floor(UNIT * w / norms[row] + 0.5)
+            squares = np.concatenate([[0], np.cumsum(w.astype(np.longdouble) ** 2)])[upto]
+            norm = np.sqrt(np.diff(squares).astype(np.float64))
+            unit = np.floor(UNIT * w / np.where(norm > 0, norm, 1)[row] + 0.5)
             local = np.full(len(ids), -1)
             local[own] = np.arange(len(own))
             order = np.flatnonzero(mine)[np.argsort(term[mine], kind="stable")]
             starts = np.concatenate([[0], np.cumsum(df)])
-            rows, post = local[row[order]], unit[order]
-            for q in np.flatnonzero(np.isin(source, askers)):
-                lo, hi = upto[q], upto[q + 1]
-                best, sums = _scan(term[lo:hi], unit[lo:hi], starts, rows, post, len(own), config.top_k)
-                a += [ids[q]] * len(best)
-                b += [ids[own[i]] for i in best]
-                t += [target] * len(best)
-                s += [int(x) for x in sums]
-        return _pairs_batch(a, b, t, s)
+            asked = np.concatenate([np.arange(upto[q], upto[q + 1]) for q in asks])
+            edges = np.concatenate([[0], np.cumsum(upto[asks + 1] - upto[asks])])
+            q, best, sums = _matches(edges, term[asked], unit[asked], starts, local[row[order]], unit[order], len(own), config.top_k)
+            out.append(_pairs_batch(ids.take(pa.array(asks[q])), ids.take(pa.array(own[best])), target, sums))
+        return pa.concat_tables(out) if out else _no_pairs()
 
     return run
 
@@ -182,9 +216,12 @@ def _geo_block(config: BlockingConfig):
 def term_counts(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> DataFrame:
     """(part, source, entity, token, tf, dl); part is the country, lower-cased but not trimmed. Rows without a country
     are left out. dl counts repeated tokens."""
-    words = rows.where("country IS NOT NULL").select(F.lower("country").alias("part"), "source", F.col("entity_id").alias("entity"), text.tokens(F.col(column), stopwords).alias("_words"))
-    words = words.select("part", "source", "entity", F.size("_words").alias("dl"), F.explode("_words").alias("token"))
-    return words.groupBy("part", "source", "entity", "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    words = rows.where("country IS NOT NULL").select(F.lower("country").alias("part"), "source", F.col("entity_id").alias("entity"), F.array_sort(text.tokens(F.col(column), stopwords)).alias("_words"))
+    # Runs of equal words in the sorted list: tokens are counted inside their record, without a shuffle.
+    first = F.expr("filter(sequence(0, size(_words) - 1), i -> i = 0 OR get(_words, i) <> get(_words, i - 1))")
+    words = words.where("size(_words) > 0").withColumn("dl", F.size("_words")).withColumn("_first", first)
+    runs = F.expr("transform(_first, (f, j) -> named_struct('token', get(_words, f), 'tf', cast(coalesce(get(_first, j + 1), dl) - f as long)))")
+    return words.select("part", "source", "entity", "dl", F.explode(runs).alias("_run")).select("part", "source", "entity", F.col("_run.token").alias("token"), "dl", F.col("_run.tf").alias("tf"))
 
 
 def corpus_stats(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> DataFrame:
@@ -193,6 +230,11 @@ def corpus_stats(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> Da
     return sized.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _small(stats: DataFrame) -> DataFrame:
+    """A table with one row for each country and source, worked out once: several joins read it."""
+    return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
+
+
 def bm25_postings(counts: DataFrame, stats: DataFrame, config: BlockingConfig) -> DataFrame:
     """(part, source, token, entity, w, df, n): Lucene's BM25 weight of each posting of the target sources."""
     targets = counts.where(F.col("source").isin(sorted({t for _, t in config.jobs})))
@@ -209,8 +251,8 @@ def bm25_top_k(rows: DataFrame, column: str, score: str, config: BlockingConfig
     Query terms (with their counts) meet postings of their country and token in scan_top_k. With max_df_ratio, query terms that more than that share of the target's rows hold are dropped from the queries.
     """
     counts = term_counts(rows, column, config.stopwords)
-    stats = corpus_stats(rows, column, config.stopwords)
-    postings = bm25_postings(counts, stats, config)
+    stats = _small(corpus_stats(rows, column, config.stopwords))
+    postings = bm25_postings(counts, F.broadcast(stats), config)
     if config.max_df_ratio is not None:
         postings = postings.where(F.col("df") <= config.max_df_ratio * F.col("n"))
     queries = counts.where(F.col("source").isin(sorted({q for q, _ in config.jobs})))
@@ -233,9 +275,10 @@ def geo_top_k(rows: DataFrame, config: BlockingConfig = BlockingConfig(), score:
     sized = held.select("entity_id", "source", "search_document", "geo_block_key").join(size, "geo_block_key")
     few = sized.where(F.col("_n") <= BLOCK_RECORDS).select("geo_block_key", "entity_id", F.col("source").cast("int").alias("source"), "search_document")
     few = few.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "geo_block_key")  # as above
-    small = few.groupBy("geo_block_key").applyInArrow(_geo_block(config), PAIRS)
-    large = _geo_joined(sized.where(F.col("_n") > BLOCK_RECORDS), config)
-    return small.union(large).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
+    small = few.groupBy("geo_block_key").applyInArrow(_geo_pairs(config), PAIRS)
+    if not size.where(F.col("_n") > BLOCK_RECORDS).isEmpty():
+        small = small.union(_geo_joined(sized.where(F.col("_n") > BLOCK_RECORDS), config))
+    return small.select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
 
 
 def _geo_joined(held: DataFrame, config: BlockingConfig) -> DataFrame:
@@ -288,4 +331,4 @@ def word_tfidf_top_k(rows: DataFrame, column: str, score: str, config: BlockingC
     q = unit.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), F.col("w").alias("q_w"))
     t = unit.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), F.col("w").alias("t_w"))
     sizes = source.groupBy("part", "source").agg(F.sum(F.size(text.tokens(F.col("doc"), ()))).alias("terms"))
-    return scan_top_k(q, t, sizes, config).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))
+    return scan_top_k(q, t, _small(sizes), config).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))

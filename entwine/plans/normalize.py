@@ -34,6 +34,14 @@ def normalize(rows: DataFrame, config: BlockingConfig = BlockingConfig()) -> Dat
     return keyed.select("entity_id", "source", "country", "clean_name", "clean_address", "geo_block_key", "phonetic_hash", "search_document")
 
 
+def check_ids(rows: DataFrame) -> DataFrame:
+    """rows, or ValueError where an entity_id is null or repeated: retrievers would add up the records' postings."""
+    bad = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR entity_id IS NULL").limit(3).collect()
+    if bad:
+        raise ValueError(f"entity_id must be unique and not null: {[r['entity_id'] for r in bad]}")
+    return rows
+
+
 def normalize_one(rows: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     """Normalize a single source without a source column."""
     return normalize(rows.withColumn("source", F.lit(0).cast("tinyint")), config).drop("source")

@@ -39,7 +39,9 @@ def query(select: str | None = None):
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Records from documents; those of a few small files are dealt to all cores, as cleaning costs more than a shuffle."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return records.document_records(docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs)
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,10 @@ MISSING = (
 )
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A headed TSV with an explicit schema; the usual strings for missing values become null."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"')
+def read_tsv(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
+    """A headed TSV with an explicit schema; the usual strings for missing values become null. A quoted field may hold
+    line feeds; without `multiline` a file can be read by several tasks."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"', multiLine=multiline)
     return rows.select(*[F.when(F.col(c).isin(*MISSING), None).otherwise(F.col(c)).alias(c) for c in rows.columns])
 
 

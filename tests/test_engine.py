@@ -80,6 +80,73 @@ def test_geo_scores_are_cosines_in_one_block(small):
     assert not any(block[r["entity_A"]].endswith("_unknown") for r in got)
 
 
+def brute_grams(document):
+    from collections import Counter
+
+    return Counter(f" {w} "[i : i + n] for w in document.lower().split() for n in (2, 3, 4) for i in range(len(w) + 3 - n))
+
+
+def test_gram_counts_against_brute_force():
+    documents = ["alpha beta alpha", "", "a", "  é\tbé  a ", "x" * 50, "日本 語", "beta"]
+    row, gram, count, size = retrieval._gram_counts(documents, 2, 4)
+    want = [brute_grams(d) for d in documents]
+    assert [sorted(count[row == i].tolist()) for i in range(len(documents))] == [sorted(w.values()) for w in want]
+    assert size == len({g for w in want for g in w}) and [len(set(gram[row == i])) for i in range(len(documents))] == list(map(len, want))
+    assert set(gram[row == 6]) <= set(gram[row == 0]) and not set(gram[row == 4]) & set(gram[row == 0])
+
+
+def test_geo_against_brute_force(small):
+    """Cosines of one block, worked out record by record."""
+    import math
+
+    rows, _ = small
+    records = [r for r in rows.collect() if not r["geo_block_key"].endswith("_unknown")]
+    want = {}
+    for q_source, t_source in CONFIG.jobs:
+        for block in {r["geo_block_key"] for r in records}:
+            queries, targets = ([r for r in records if r["geo_block_key"] == block and r["source"] == s] for s in (q_source, t_source))
+            grams = {r["entity_id"]: brute_grams(r["search_document"]) for r in queries + targets}
+            df = {g: sum(g in grams[t["entity_id"]] for t in targets) for t in targets for g in grams[t["entity_id"]]}
+            idf = {g: math.log((1 + len(targets)) / (1 + n)) + 1 for g, n in df.items()}
+            vectors = {i: {g: c * idf[g] for g, c in x.items() if g in idf} for i, x in grams.items()}
+            norms = {i: math.sqrt(sum(v * v for v in x.values())) or 1 for i, x in vectors.items()}
+            for q in queries:
+                a = vectors[q["entity_id"]]
+                for t in targets:
+                    b = vectors[t["entity_id"]]
+                    want[q["entity_id"], t["entity_id"]] = sum(v * b.get(g, 0) for g, v in a.items()) / norms[q["entity_id"]] / norms[t["entity_id"]]
+    got = {(r[0], r[1]): r[2] for r in retrieval.geo_top_k(rows, CONFIG).collect()}
+    assert got and all(abs(s - want[p]) < 1e-4 for p, s in got.items())
+    for (q, t), s in want.items():
+        kept = sorted((x for (a, b), x in got.items() if a == q and b[:2] == t[:2]), reverse=True)
+        assert (q, t) in got or s < 1e-5 or (len(kept) == CONFIG.top_k and s <= kept[-1] + 1e-4)
+
+
+def test_size_limits_change_no_pair(spark, monkeypatch):
+    """Both geographic branches, and a scan of many blocks and chunks against one of each."""
+    names = ["red house bakery", "red house books", "blue house", "green bakery", "blue books bakery", "house"]
+    rows = [(f"S{1 + i % 3}-{i}", i % 3, "fr", f"fr_{i % 2}", names[i % 6] + f" {i % 5}") for i in range(36)]
+    df = spark.createDataFrame(rows, "entity_id string, source int, country string, geo_block_key string, search_document string").cache()
+    geo = lambda: sorted(map(tuple, retrieval.geo_top_k(df, CONFIG).collect()))
+    text = lambda: sorted(map(tuple, retrieval.bm25_top_k(df, "search_document", "s", CONFIG).collect()))
+    whole = geo(), text()
+    monkeypatch.setattr(retrieval, "BLOCK_RECORDS", 0)
+    monkeypatch.setattr(retrieval, "TARGET_POSTINGS", 9)
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 7)
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    assert whole[0] and whole[1] and (geo(), text()) == whole
+
+
+def test_ids_must_be_unique(spark):
+    from entwine.plans.normalize import check_ids
+
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "entity_id string")
+    assert check_ids(frame(["a", "b"])).count() == 2
+    for bad in (["a", "a"], ["a", None]):
+        with pytest.raises(ValueError):
+            check_ids(frame(bad))
+
+
 def test_equal_documents_have_cosine_one(spark):
     rows = [("S1-1", 0, "fr", "fr_x", "alpha beta"), ("S2-1", 1, "fr", "fr_x", "alpha beta"), ("S2-2", 1, "fr", "fr_x", "gamma")]
     df = spark.createDataFrame(rows, "entity_id string, source int, country string, geo_block_key string, search_document string")
