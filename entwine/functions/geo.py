@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import SPACE, ascii_fold, collapse, depunctuate
+from .text import SPACE, ascii_fold, collapse
 
 #: Chunks that, as a whole, tell no place.
 GEO_STOPWORDS = (
@@ -41,11 +41,16 @@ def pin(address: Column) -> Column:
 
 
 def chunks(address: Column, country: Column) -> Column:
-    """Valid comma parts of an address in order: cleaned, more than one character, no stopword, no country."""
-    parts = F.split(F.coalesce(strip(F.lower(address)), F.lit("")), ",")
-    cleaned = F.transform(parts, lambda p: collapse(depunctuate(F.regexp_replace(ascii_fold(p), r"\b[0-9]{5,6}\b", ""))))
-    none = F.array(*[F.lit(s) for s in (*GEO_STOPWORDS, *COUNTRY_NAMES)])
-    valid = F.filter(cleaned, lambda c: (F.length(c) > 1) & ~F.array_contains(none, c) & (c != country_key(country)))
+    """Valid comma parts of an address in order: cleaned, more than one character, no stopword, no country.
+
+    All cleaning is done on the whole address with its commas kept, so that no pattern runs part by part; only a letter
+    that folds to a comma must not part it.
+    """
+    whole = F.lower(ascii_fold(F.translate(F.coalesce(F.lower(address), F.lit("")), "‚", " ")))
+    plain = F.regexp_replace(whole, r"\b[0-9]{5,6}\b|[^a-z0-9_,\x09-\x0D\x1C-\x20]", " ")
+    parts = F.split(collapse(plain), " ?, ?")
+    none = (*GEO_STOPWORDS, *COUNTRY_NAMES)
+    valid = F.filter(parts, lambda c: (F.length(c) > 1) & ~c.isin(*none) & (c != country_key(country)))
     return F.transform(valid, lambda c: F.replace(c, F.lit(" "), F.lit("_")))
 
 

@@ -47,7 +47,7 @@ def ascii_fold(text: Column) -> Column:
     for k, v in longer:
         out = F.replace(out, F.lit(k), F.lit(v))
     out = F.regexp_replace(out, r"[^\x00-\x7F]+", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+    return F.when(F.octet_length(text) > F.length(text), out).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
@@ -60,11 +60,17 @@ def depunctuate(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9_\x09-\x0D\x1C-\x20]", " ")
 
 
+#: What every match of a pattern in SUFFIXES holds.
+TRIGGER = "private limited|pvt|corporation|incorporated|street|road|avenue|boulevard"
+
+
 def standardize_suffixes(text: Column) -> Column:
-    """Long forms of company and street suffixes to short ones, in order, on lower-cased text."""
-    for pattern, short in SUFFIXES:
-        text = F.regexp_replace(text, pattern, short)
-    return text
+    """Long forms of company and street suffixes to short ones, in order, on lower-cased text. Text without any of
+    TRIGGER is left alone after one look at it."""
+    short = text
+    for pattern, suffix in SUFFIXES:
+        short = F.regexp_replace(short, pattern, suffix)
+    return F.when(text.rlike(TRIGGER), short).otherwise(text)
 
 
 def clean_address(address: Column) -> Column:
@@ -82,39 +88,36 @@ def search_document(name: Column, address: Column) -> Column:
 
 
 #: Metaphone (L. Philips, Computer Language 7(12), 1990) as ordered rewriting rules on lower-cased words with single
-#: spaces between them. Codes are capitals, which later rules leave alone. Each rule: ("re", pattern, replacement with
-#: \1) or ("tr", from, to). Patterns use no look-around and no back-references, so other engines can run them too.
+#: spaces between them. Codes are capitals, which later rules leave alone. Each rule: ("re", pattern, replacement) or
+#: ("tr", from, to).
 METAPHONE = (
     ("re", r"[^a-z ]", ""),
-    ("re", r"(^| )[kgp]n", r"\1n"),
-    ("re", r"(^| )wr", r"\1r"),
-    ("re", r"(^| )ae", r"\1e"),
-    ("re", r"(^| )x", r"\1s"),
-    ("re", r"(^| )wh", r"\1w"),
-    *(("re", f"{c}{c}+", c) for c in "abdefghijklmnopqrstuvwxyz"),
-    ("re", r"mb( |$)", r"m\1"),
+    ("re", r"(^| )(?:[kgp](?=n)|w(?=r)|a(?=e))", "$1"),  # silent at the start of a word
+    ("re", r"(^| )x", "$1s"),
+    ("re", r"(^| )wh", "$1w"),
+    ("re", r"([abd-z])\1+", "$1"),
+    ("re", r"mb( |$)", "m$1"),
     ("re", r"sch", "sk"),
     ("re", r"tch", "ch"),
-    ("re", r"ci(a)|ch", r"X\1"),
+    ("re", r"ci(a)|ch", "X$1"),
     ("re", r"ck", "K"),
-    ("re", r"c([iey])", r"S\1"),
-    ("re", r"dg([iey])", r"J\1"),
-    ("re", r"gh([^aeiou])", r"\1"),
-    ("re", r"gn( |$)", r"n\1"),
-    ("re", r"gned( |$)", r"ned\1"),
-    ("re", r"g([iey])", r"J\1"),
+    ("re", r"sc([iey])", "S$1"),
+    ("re", r"c([iey])", "S$1"),
+    ("re", r"dg([iey])", "J$1"),
+    ("re", r"gh([^aeiou])", "$1"),
+    ("re", r"gn(ed)?( |$)", "n$1$2"),
+    ("re", r"g([iey])", "J$1"),
     ("re", r"ph", "F"),
     ("re", r"sh", "X"),
     ("re", r"th", "0"),
-    ("re", r"([aeiou])h([^aeiou]|$)", r"\1\2"),
-    ("re", r"[st]i([oa])", r"X\1"),
+    ("re", r"([aeiou])h([^aeiou]|$)", "$1$2"),
+    ("re", r"[st]i([oa])", "X$1"),
     ("re", r"x", "KS"),
-    ("re", r"w([aeiou])", r"W\1"),
-    ("re", r"y([aeiou])", r"Y\1"),
+    ("re", r"w([aeiou])", "W$1"),
+    ("re", r"y([aeiou])", "Y$1"),
     ("re", r"[wy]", ""),
-    ("tr", "bcdfghjklmnpqrstvz", "BKTFKHJKLMNPKRSTFS"),
-    *(("re", f"(^| ){v}", rf"\1{v.upper()}") for v in "aeiou"),
-    ("re", r"[aeiou]", ""),
+    ("tr", "bcdfghjklmnpqrstvzaeiou", "BKTFKHJKLMNPKRSTFSAEIOU"),
+    ("re", r"(?<=[^ ])[AEIOU]", ""),  # vowels count at the start of a word
     ("re", r"  +", " "),
 )
 
@@ -122,7 +125,7 @@ METAPHONE = (
 def metaphone(clean: Column) -> Column:
     """Phonetic codes of a cleaned name, word by word, with the spaces between words; empty for empty."""
     for kind, a, b in METAPHONE:
-        clean = F.translate(clean, a, b) if kind == "tr" else F.regexp_replace(clean, a, b.replace("\\", "$"))
+        clean = F.translate(clean, a, b) if kind == "tr" else F.regexp_replace(clean, a, b)
     return F.trim(clean)
 
 

@@ -6,9 +6,44 @@ import re
 
 from .config import STOPWORDS, BlockingConfig
 from .functions.geo import COUNTRY_NAMES, GEO_STOPWORDS
-from .functions.text import METAPHONE, SUFFIXES, fold_table
+from .functions.text import SUFFIXES, fold_table
 
 SPACE = r"[\x09-\x0D\x1C-\x20]"
+#: Metaphone letter by letter, in patterns without look-around and back-references; written apart from the engine's rules.
+METAPHONE = (
+    ("re", r"[^a-z ]", ""),
+    ("re", r"(^| )[kgp]n", r"\1n"),
+    ("re", r"(^| )wr", r"\1r"),
+    ("re", r"(^| )ae", r"\1e"),
+    ("re", r"(^| )x", r"\1s"),
+    ("re", r"(^| )wh", r"\1w"),
+    *(("re", f"{c}{c}+", c) for c in "abdefghijklmnopqrstuvwxyz"),
+    ("re", r"mb( |$)", r"m\1"),
+    ("re", r"sch", "sk"),
+    ("re", r"tch", "ch"),
+    ("re", r"ci(a)|ch", r"X\1"),
+    ("re", r"ck", "K"),
+    ("re", r"sc([iey])", r"S\1"),
+    ("re", r"c([iey])", r"S\1"),
+    ("re", r"dg([iey])", r"J\1"),
+    ("re", r"gh([^aeiou])", r"\1"),
+    ("re", r"gn( |$)", r"n\1"),
+    ("re", r"gned( |$)", r"ned\1"),
+    ("re", r"g([iey])", r"J\1"),
+    ("re", r"ph", "F"),
+    ("re", r"sh", "X"),
+    ("re", r"th", "0"),
+    ("re", r"([aeiou])h([^aeiou]|$)", r"\1\2"),
+    ("re", r"[st]i([oa])", r"X\1"),
+    ("re", r"x", "KS"),
+    ("re", r"w([aeiou])", r"W\1"),
+    ("re", r"y([aeiou])", r"Y\1"),
+    ("re", r"[wy]", ""),
+    ("tr", "bcdfghjklmnpqrstvz", "BKTFKHJKLMNPKRSTFS"),
+    *(("re", f"(^| ){v}", rf"\1{v.upper()}") for v in "aeiou"),
+    ("re", r"[aeiou]", ""),
+    ("re", r"  +", " "),
+)
 
 
 def quoted(text: str) -> str:

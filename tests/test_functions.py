@@ -61,6 +61,8 @@ def test_pin(spark, address, code):
         (None, "India", ("india", None, None, None)),
         ("Lyon", None, ("", None, "lyon", None)),
         ("a, b, , 75001", " France ", ("france", "75001", None, None)),
+        ("Saint-Étienne‚ Loire,Ærø\t Vest, 日本 ,", "France", ("france", None, "aero_vest", "saint_etienne_loire")),
+        ("no 5\u20ac, a-411001-b ,, New  Town", "new town", ("new town", None, "a_b", "no_5eur")),
     ],
 )
 def test_layers(spark, address, country, expected):
@@ -80,6 +82,7 @@ def test_base_key(spark):
     [
         ("thompson", "0MPSN"), ("knight", "NT"), ("physics", "FSKS"), ("school", "SKL"), ("church", "XRX"), ("bridge", "BRJ"), ("wrack", "RK"),
         ("apple pie", "APL P"), ("action", "AKXN"), ("comb", "KM"), ("exit", "EKST"), ("42", ""), ("", ""), ("yes why", "YS"),
+        ("science", "SNS"), ("scene scythe", "SN S0"), ("conscious", "KNSS"), ("school scan", "SKL SKN"), ("aeon aisle", "EN ASL"), ("sign signed gnome", "SN SNT NM"), ("aa bookkeeper", "A BKPR"),
     ],
 )
 def test_metaphone(spark, word, code):
