@@ -13,7 +13,7 @@ from .functions import geo, text
 from .operators import evaluation, retrieval, sampling
 from .plans import normalize as plans
 from .plans import pool
-from .sources import records
+from .sources import files, records
 
 #: Block sizes fit for tables of a thousand to a million records.
 CONFIG = BlockingConfig(upper_threshold=15, lower_threshold=3)
@@ -136,6 +136,11 @@ def normalized_records(spark, sf_dir):
     return _rows(spark, sf_dir).withColumn("source", F.col("source").cast("int"))
 
 
+@query("SELECT entity_id, country, clean_name, clean_address, geo_block_key, phonetic_hash, search_document FROM keyeds WHERE source = 0")
+def normalize_one(spark, sf_dir):
+    return plans.normalize_one(_records(spark, sf_dir).where("source = 0").drop("source"), CONFIG)
+
+
 @query("""SELECT threshold::BIGINT AS threshold, count(DISTINCT base_key) FILTER (big) AS massive_keys, max(n) AS max_block_size, count(DISTINCT k) AS blocks
     FROM (SELECT *, count(*) OVER (PARTITION BY threshold, k) AS n FROM swept) GROUP BY threshold""")
 def threshold_sweep(spark, sf_dir):
@@ -230,6 +235,17 @@ def miss_report(spark, sf_dir):
     return evaluation.miss_report(_pool(spark, sf_dir), _pairs(spark, sf_dir), _rows(spark, sf_dir))
 
 
+@query("""SELECT u, v, a.search_document AS u_document, a.geo_block_key AS u_block, b.search_document AS v_document, b.geo_block_key AS v_block
+    FROM (SELECT u, v FROM missed ORDER BY u, v LIMIT 3) JOIN keyedj a ON u = a.entity_id JOIN keyedj b ON v = b.entity_id""")
+def first_misses(spark, sf_dir):
+    return evaluation.miss_report(_pool(spark, sf_dir), _pairs(spark, sf_dir), _rows(spark, sf_dir), first=3)
+
+
+@query(oracle.submission("bm25_text_score > 15 OR bm25_phonetic_score > 10"))
+def submission_without_geo(spark, sf_dir):
+    return evaluation.submission(_pool(spark, sf_dir).drop("geo_ngram_score"), _records(spark, sf_dir))
+
+
 @query(oracle.submission("bm25_text_score > 15 OR bm25_phonetic_score > 10 OR geo_ngram_score > 0.5"))
 def submission(spark, sf_dir):
     return evaluation.submission(_pool(spark, sf_dir), _records(spark, sf_dir))
@@ -267,6 +283,22 @@ def sample_noise(spark, sf_dir):
     return sampling.noise(_records(spark, sf_dir), ids, NOISE_ROWS).select("entity_id", F.col("source").cast("int").alias("source"))
 
 
+@query(f"""SELECT entity_id, source::INT AS source, business_name, business_address, country FROM recs WHERE entity_id IN (SELECT entity_id FROM anchorids) UNION ALL
+    SELECT entity_id, source::INT, business_name, business_address, country FROM recs WHERE NOT EXISTS (SELECT 1 FROM anchorids a WHERE a.entity_id = recs.entity_id)
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY {oracle.drawn('entity_id')}, entity_id) <= {NOISE_ROWS}""")
+def anchored_sample(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumn("source", F.col("source").cast("int"))
+    samples, _ = sampling.anchored_sample([rows.where(f"source = {s}") for s in range(3)], _truth(spark, sf_dir), TRUTH_ROWS, NOISE_ROWS)
+    return samples[0].unionByName(samples[1]).unionByName(samples[2]).select("entity_id", "source", "business_name", "business_address", "country")
+
+
+@query("SELECT entity_id, nullif(business_name, '') AS business_name, nullif(business_address, '') AS business_address, country FROM recs")
+def tsv_round_trip(spark, sf_dir):
+    path = files.scratch(spark, "tsv")
+    files.write_tsv(_records(spark, sf_dir).select("entity_id", "business_name", "business_address", "country"), path)
+    return files.read_source(spark, path)
+
+
 @query("SELECT * FROM sampled")
 def sample_truth(spark, sf_dir):
     return sampling.sample_truth(_truth(spark, sf_dir), TRUTH_ROWS)

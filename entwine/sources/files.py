@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,23 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tsv(rows: DataFrame, path: str, single: bool = False) -> None:
-    """A folder of headed TSV parts; single writes one part, for small reports."""
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    """A folder of headed TSV parts; single writes one part, for small reports. White space at the ends of values stays."""
+    parts = rows.coalesce(1) if single else rows
+    parts.write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, dropped when the driver ends; a local session without
+    that setting takes a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def report_json(report: DataFrame) -> str:

@@ -212,10 +212,10 @@ def test_noise_keeps_null_ids(spark):
 
 
 def test_tsv_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("S1-1", 'a "b"', "x, y", "India"), ("S1-2", None, "NA", "US")], files.SOURCE)
+    rows = spark.createDataFrame([("S1-1", ' a "b"\n', "x, y", "India"), ("S1-2", None, "NA", "US")], files.SOURCE)
     files.write_tsv(rows, str(tmp_path / "out"), single=True)
     got = {r[0]: tuple(r) for r in files.read_source(spark, str(tmp_path / "out")).collect()}
-    assert got == {"S1-1": ("S1-1", 'a "b"', "x, y", "India"), "S1-2": ("S1-2", None, None, "US")}
+    assert got == {"S1-1": ("S1-1", ' a "b"\n', "x, y", "India"), "S1-2": ("S1-2", None, None, "US")}
 
 
 def test_synthetic_is_reproducible(spark):
