@@ -32,12 +32,14 @@ def top_k(pairs: DataFrame, k: int, score: str) -> DataFrame:
     return pairs.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank")
 
 
-#: Postings in a target block and query terms in a chunk: what one task of the scan holds (some 50 MB).
-TARGET_POSTINGS, QUERY_TERMS = 1_000_000, 25_000
+#: Postings in a target block, and query terms in a chunk: at least (so that small tables keep all tasks busy) and at
+#: most (where a table gives more tasks than that). What one task of the scan holds is some 100 MB.
+TARGET_POSTINGS, QUERY_TERMS, QUERY_TERMS_MOST = 1_000_000, 25_000, 800_000
 #: Records in a geographic block up to which one task holds it whole.
 BLOCK_RECORDS = 20_000
-#: Numbers in one array of the scan (32 MB).
-CELLS = 1 << 22
+#: Numbers in the scan's table of common terms (32 MB), and in the array of sums of one group of queries (4 MB: what
+#: is added at random places should stay in a core's cache).
+CELLS, SUMS = 1 << 22, 1 << 19
 
 
 def _tops(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ def _matches(edges: np.ndarray, terms: np.ndarray, weights: np.ndarray, starts:
     work = np.concatenate([[0], np.cumsum(size)])[edges]
     out, lo, last = [], 0, len(edges) - 1
     while lo < last:
-        hi = min(last, lo + max(1, CELLS // n), max(lo + 1, int(np.searchsorted(work, work[lo] + CELLS, side="right")) - 1))
+        hi = min(last, lo + max(1, SUMS // n), max(lo + 1, int(np.searchsorted(work, work[lo] + CELLS, side="right")) - 1))
         own = slice(edges[lo], edges[hi])
         query, w, p, m = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1])), weights[own], spot[own], size[own]
         at = np.repeat(starts[:-1][terms[own]] - np.cumsum(m) + m, m) + np.arange(m.sum())
@@ -102,43 +104,65 @@ def _no_pairs() -> pa.Table:
 PAIRS = "entity_A string, entity_B string, t_source int, _s long"
 
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Rows, tokens and weights of a column of terms."""
+    whole = lists.combine_chunks()
+    token, weight = whole.flatten().flatten()
+    return np.repeat(np.arange(len(whole)), pc.list_value_length(whole).to_numpy()), token, weight.to_numpy().astype(np.float64)
+
+
 def _scan_block(k: int):
     def run(key, queries: pa.Table, targets: pa.Table) -> pa.Table:
         if not queries.num_rows or not targets.num_rows:
             return _no_pairs()
-        names = pc.unique(targets["entity_B"].combine_chunks()).sort()
-        words = targets["token"].combine_chunks().dictionary_encode()
-        rows = pc.index_in(targets["entity_B"].combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = targets["entity_B"].combine_chunks()
+        by_name = pc.sort_indices(names).to_numpy().astype(np.int64)  # ties go to the smaller id
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[by_name] = np.arange(len(names))
+        row, token, post = _flat(targets["terms"])
+        words = token.dictionary_encode()
         term = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(term, kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))])
-        rows, post = rows[order], targets["t_w"].to_numpy()[order].astype(np.float64)
-        known = pc.index_in(queries["token"].combine_chunks(), words.dictionary)
-        own = queries["entity_A"].combine_chunks().dictionary_encode()
+        query, token, weight = _flat(queries["terms"])
+        known = pc.index_in(token, words.dictionary)
         keep = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
-        term = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[keep]
-        query, weight = own.indices.to_numpy(zero_copy_only=False)[keep], queries["q_w"].to_numpy()[keep].astype(np.float64)
-        order = np.argsort(query, kind="stable")
-        query, term, weight = query[order], term[order], weight[order]
-        edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]])) if len(query) else np.array([0])
-        q, best, sums = _matches(edges, term, weight, starts, rows, post, len(names), k)
-        return _pairs_batch(own.dictionary.take(pa.array(query[edges[q]])), names.take(pa.array(best)), key[1].as_py(), sums)
+        asked, sizes = np.unique(query[keep], return_counts=True)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        found = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[keep]
+        q, best, sums = _matches(edges, found, weight[keep], starts, rank[row[order]], post[order], len(names), k)
+        return _pairs_batch(queries["entity_A"].combine_chunks().take(pa.array(asked[q])), names.take(pa.array(by_name[best])), key[1].as_py(), sums)
 
     return run
 
 
+def _chunk_terms(sizes: DataFrame, config: BlockingConfig) -> int:
+    """Query terms in a chunk: the fewest, by doublings of QUERY_TERMS, that give no more groups than eight to a task."""
+    parts: dict[str, dict[int, int]] = {}
+    for r in sizes.collect():
+        parts.setdefault(r["part"], {})[r["source"]] = int(r["terms"] or 0)
+    cut = lambda terms, n: max(1, -(-terms // n))
+    groups = lambda n: sum(cut(p[t], TARGET_POSTINGS) * cut(p[q], n) for p in parts.values() for q, t in config.jobs if q in p and t in p)
+    terms = QUERY_TERMS
+    while terms < QUERY_TERMS_MOST and groups(terms) > 8 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        terms *= 2
+    return terms
+
+
 def scan_top_k(queries: DataFrame, targets: DataFrame, sizes: DataFrame, config: BlockingConfig) -> DataFrame:
     """(entity_A, entity_B, t_source, _s): the top_k targets by the sum of q_w * t_w over common tokens of a part.
 
-    queries: part, q_source, entity_A, token, q_w. targets: part, t_source, token, entity_B, t_w. Weights are whole
-    numbers. sizes: part, source, terms (how many rows there are at most, to cut by). A plain join would make a row for every common token of every pair. Here each part's targets are cut into
-    blocks and its queries into chunks of bounded size; a task holds one chunk and one block, adds up postings in
-    arrays and hands on k rows per query; a window takes the best of all blocks. So rows made are queries times
-    blocks times k, and a frequent token costs no more than its postings.
+    queries: part, q_source, entity_A, terms. targets: part, t_source, entity_B, terms. One row for each record; terms are
+    (token, w) with whole weights, each token once. sizes: part, source, terms (how many terms there are at most, to cut
+    by; one row for each country and source). A plain join would make a row for every common token of every pair. Here
+    each part's targets are cut into blocks and its queries into chunks of bounded size; a task holds one chunk and one
+    block, adds up postings in arrays and hands on k rows per query; a window takes the best of all blocks. Records
+    travel whole, so a block is repeated for each chunk as rows of records, not of postings, and a frequent token costs
+    no more than its postings.
     """
     cut = lambda n: F.greatest(F.ceil(F.col("terms") / n), F.lit(1))
     t_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("t_source"), cut(TARGET_POSTINGS).alias("blocks"))
-    q_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("q_source"), cut(QUERY_TERMS).alias("chunks"))
+    q_sizes = sizes.select(F.col("part").alias("part"), F.col("source").alias("q_source"), cut(_chunk_terms(sizes, config)).alias("chunks"))
     met = F.broadcast(t_sizes.join(q_sizes, "part").where(_job(config)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     key = ["part", "t_source", "block", "q_source", "chunk"]
@@ -146,7 +170,7 @@ def scan_top_k(queries: DataFrame, targets: DataFrame, sizes: DataFrame, config:
     t = targets.join(met, ["part", "t_source"]).withColumn("block", F.pmod(F.xxhash64("entity_B"), F.col("blocks"))).withColumn("chunk", numbers("chunks"))
     # Both sides may stem from one table: new aliases keep their columns apart in the cogroup.
     typed = lambda df, *columns: df.select(*[F.col(c).cast("int").alias(c) if c.endswith("source") else F.col(c).alias(c) for c in (*key, *columns)])
-    q, t = typed(q, "entity_A", "token", "q_w"), typed(t, "token", "entity_B", "t_w")
+    q, t = typed(q, "entity_A", "terms"), typed(t, "entity_B", "terms")
     # A number of one's own: few bytes stand for much work here, and AQE would gather them in one task.
     tasks = 4 * int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q, t = q.repartition(tasks, *key), t.repartition(tasks, *key)
@@ -213,15 +237,40 @@ def _geo_pairs(config: BlockingConfig):
     return run
 
 
+def _runs(words: Column) -> Column:
+    """(dl, terms) of a sorted list of tokens: its length, and its runs of equal tokens as (token, w), w their lengths."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: (i < F.size(words)) & ((i == 0) | (F.get(words, i) != F.get(words, i - 1))))
+
+    def terms(first: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(first, j + 1), F.size(words))
+        return F.transform(first, lambda f, j: F.struct(F.get(words, f).alias("token"), (end(j) - f).cast("long").alias("w")))
+
+    return F.struct(F.size(words).alias("dl"), _let(starts, terms).alias("terms"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once: as a lambda's variable it is not put in wherever body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def record_terms(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> DataFrame:
+    """(part, source, entity, dl, terms), terms an array of (token, w) with w how often the record holds the token. part
+    is the country, lower-cased but not trimmed. Rows without a country are left out. dl counts repeated tokens. Tokens are
+    counted inside their record, without a shuffle."""
+    held = _let(F.array_sort(text.tokens(F.col(column), stopwords)), _runs)
+    words = rows.where("country IS NOT NULL").select(F.lower("country").alias("part"), "source", F.col("entity_id").alias("entity"), held.alias("_held"))
+    return words.select("part", "source", "entity", F.col("_held.dl").alias("dl"), F.col("_held.terms").alias("terms"))
+
+
 def term_counts(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> DataFrame:
-    """(part, source, entity, token, tf, dl); part is the country, lower-cased but not trimmed. Rows without a country
-    are left out. dl counts repeated tokens."""
-    words = rows.where("country IS NOT NULL").select(F.lower("country").alias("part"), "source", F.col("entity_id").alias("entity"), F.array_sort(text.tokens(F.col(column), stopwords)).alias("_words"))
-    # Runs of equal words in the sorted list: tokens are counted inside their record, without a shuffle.
-    first = F.expr("filter(sequence(0, size(_words) - 1), i -> i = 0 OR get(_words, i) <> get(_words, i - 1))")
-    words = words.where("size(_words) > 0").withColumn("dl", F.size("_words")).withColumn("_first", first)
-    runs = F.expr("transform(_first, (f, j) -> named_struct('token', get(_words, f), 'tf', cast(coalesce(get(_first, j + 1), dl) - f as long)))")
-    return words.select("part", "source", "entity", "dl", F.explode(runs).alias("_run")).select("part", "source", "entity", F.col("_run.token").alias("token"), "dl", F.col("_run.tf").alias("tf"))
+    """(part, source, entity, token, dl, tf): record_terms with a row for each token."""
+    terms = record_terms(rows, column, stopwords).select("part", "source", "entity", "dl", F.explode("terms").alias("_run"))
+    return terms.select("part", "source", "entity", F.col("_run.token").alias("token"), "dl", F.col("_run.w").alias("tf"))
+
+
+def _by_record(postings: DataFrame) -> DataFrame:
+    """Postings (part, source, entity, token, w) as a row for each record: dealt by record, so no token is hot."""
+    return postings.groupBy("part", "source", "entity").agg(F.collect_list(F.struct("token", "w")).alias("terms"))
 
 
 def corpus_stats(rows: DataFrame, column: str, stopwords: tuple[str, ...]) -> DataFrame:
@@ -255,11 +304,11 @@ def bm25_top_k(rows: DataFrame, column: str, score: str, config: BlockingConfig
     postings = bm25_postings(counts, F.broadcast(stats), config)
     if config.max_df_ratio is not None:
         postings = postings.where(F.col("df") <= config.max_df_ratio * F.col("n"))
-    queries = counts.where(F.col("source").isin(sorted({q for q, _ in config.jobs})))
-    queries = queries.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), "tf")
-    targets = postings.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), "w")
+    queries = record_terms(rows.where(F.col("source").isin(sorted({q for q, _ in config.jobs}))), column, config.stopwords)
+    queries = queries.select("part", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), "terms")
+    targets = _by_record(postings).select("part", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), "terms")
     sizes = stats.select("part", "source", (F.col("n") * F.col("avgdl")).alias("terms"))
-    best = scan_top_k(queries.withColumnRenamed("tf", "q_w"), targets.withColumnRenamed("w", "t_w"), sizes, config)
+    best = scan_top_k(queries, targets, sizes, config)
     return best.select("entity_A", "entity_B", (F.col("_s") / UNIT).alias(score))
 
 
@@ -328,7 +377,8 @@ def word_tfidf_top_k(rows: DataFrame, column: str, score: str, config: BlockingC
     weighted = tf.join(idf, ["part", "token"]).select("part", "source", "entity", "token", F.round(UNIT * F.col("tf") * F.col("idf")).cast("long").alias("w"))
     norms = weighted.groupBy("part", "source", "entity").agg(F.sqrt(F.sum(F.col("w").cast("decimal(38,0)") * F.col("w")).cast("double")).alias("norm"))
     unit = weighted.join(norms, ["part", "source", "entity"]).select("part", "source", "entity", "token", F.round(UNIT * F.col("w") / F.col("norm")).cast("long").alias("w"))
-    q = unit.select("part", "token", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), F.col("w").alias("q_w"))
-    t = unit.select("part", "token", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), F.col("w").alias("t_w"))
+    whole = _by_record(unit)
+    q = whole.select("part", F.col("source").alias("q_source"), F.col("entity").alias("entity_A"), "terms")
+    t = whole.select("part", F.col("source").alias("t_source"), F.col("entity").alias("entity_B"), "terms")
     sizes = source.groupBy("part", "source").agg(F.sum(F.size(text.tokens(F.col("doc"), ()))).alias("terms"))
     return scan_top_k(q, t, _small(sizes), config).select("entity_A", "entity_B", (F.col("_s") / (UNIT * UNIT)).alias(score))

@@ -134,6 +134,7 @@ def test_size_limits_change_no_pair(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "TARGET_POSTINGS", 9)
     monkeypatch.setattr(retrieval, "QUERY_TERMS", 7)
     monkeypatch.setattr(retrieval, "CELLS", 40)
+    monkeypatch.setattr(retrieval, "SUMS", 40)
     assert whole[0] and whole[1] and (geo(), text()) == whole
 
 
