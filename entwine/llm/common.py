@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ BROADCAST_ROWS = 1_000_000
 ROW = "_entwine_row"
 #: Folders of local sessions by application.
 _local: dict[str, str] = {}
+#: For each passing() that is open, the paths staged in it.
+_passing: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -43,13 +47,30 @@ def stage_path(spark: SparkSession, name: str) -> str:
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    for paths in _passing:
+        paths.append(path)
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes when this ends, but for what without() needs. Nothing else that was worked out inside may
+    be used afterwards."""
+    paths: list[str] = []
+    _passing.append(paths)
+    try:
+        yield
+    finally:
+        _passing.pop()
+        for path in paths:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,6 +120,8 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     more are joined by a shuffle.
     """
     ids = stage(gone.select(ROW), "gone")
+    for paths in _passing:
+        paths.pop()  # the last path is that of ids, which the result reads
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ROW, "left_anti").drop(ROW)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, ROW, by_row, numbered, stage, utf8, without
+from .common import LETTERS, ROW, by_row, numbered, passing, stage, utf8, without
 
 #: Fixed masks over word positions: 1 is hashed, 0 is ignored, so that a substituted word there does no harm. Within
 #: the tolerance below, every pattern of substitutions leaves some place of some mask untouched (a test goes through
@@ -208,4 +208,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark passage, all columns as they were."""
     rows = numbered(docs)
-    return without(rows, leaks(by_row(rows), benchmark).where("NOT kept").select(F.col("doc_id").alias(ROW)))
+    with passing(docs.sparkSession):
+        return without(rows, leaks(by_row(rows), benchmark).where("NOT kept").select(F.col("doc_id").alias(ROW)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, join_spread, numbered, outnumbered, stage, stage_path, without
+from .common import by_row, join_spread, numbered, outnumbered, passing, stage, stage_path, without
 
 #: Runs that one compaction merges.
 FANOUT = 16
@@ -111,5 +111,6 @@ def drop_copies(docs: DataFrame, keep: str = "min", repeats: bool = True) -> Dat
     else one of them.
     """
     rows = numbered(docs)
-    groups = exact_groups(by_row(rows)).where("group_size > 1").select("doc_id", F.col("keep_id").alias("group"))
-    return without(rows, outnumbered(rows, groups, keep, repeats))
+    with passing(docs.sparkSession):
+        groups = exact_groups(by_row(rows)).where("group_size > 1").select("doc_id", F.col("keep_id").alias("group"))
+        return without(rows, outnumbered(rows, groups, keep, repeats))

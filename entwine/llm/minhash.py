@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, by_row, components, join_spread, numbered, outnumbered, stage, utf8, without
+from .common import ROW, by_row, components, join_spread, numbered, outnumbered, passing, stage, utf8, without
 
 #: Permutations. Each gives its minimum and its maximum, so a signature has twice as many values.
 PERMUTATIONS = 128
@@ -267,5 +267,6 @@ def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, repeats: bool = Tr
     """docs with one document of each group of near duplicates, all columns as they were. Decided by row, as in
     exact.drop_copies: rows that repeat the kept doc_id stay with repeats, else one of them."""
     rows = numbered(docs)
-    groups = near_groups(by_row(rows), k, percent).select("doc_id", F.col("component_id").alias("group"))
-    return without(rows, outnumbered(rows, groups, "min", repeats))
+    with passing(docs.sparkSession):
+        groups = near_groups(by_row(rows), k, percent).select("doc_id", F.col("component_id").alias("group"))
+        return without(rows, outnumbered(rows, groups, "min", repeats))

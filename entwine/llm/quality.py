@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, stage, utf8, without
+from .common import ROW, numbered, passing, stage, utf8, without
 
 #: Hashed feature dimensions.
 DIMENSIONS = 1 << 13
@@ -222,4 +222,5 @@ def grade(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def drop_junk(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the documents that the scorer rejects, all columns as they were."""
     rows = numbered(docs)
-    return without(rows, grade(rows, threshold).where("NOT kept"))
+    with passing(docs.sparkSession):
+        return without(rows, grade(rows, threshold).where("NOT kept"))

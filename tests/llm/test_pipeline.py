@@ -69,3 +69,17 @@ def test_stages_decide_by_row(spark, folder):
     bad = junk(rng, 0)
     got = run("quality classifier", [*good, (1, bad), (None, bad), (None, a)])
     assert bad not in {t for _, t in got} and (None, a) in got and set(good) <= set(got)
+
+
+def test_stages_keep_only_what_their_result_reads(spark):
+    """Of what a stage writes, two tables are left: its numbered rows and the numbers that go."""
+    import os
+
+    from entwine.llm import common, exact
+
+    folder = common.work_dir(spark).removeprefix("file:") + "/entwine"
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (None, "")], "doc_id long, text string")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    kept = exact.drop_copies(docs)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["gone", "rows"]
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
